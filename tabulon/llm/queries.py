@@ -106,11 +106,11 @@ ORACLE_SQL = {
         ), n AS (
             SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
         ), p AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
             FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
         ), e AS (
             SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-            WHERE 100 * both >= 85 * (x.n + y.n - both)
+            WHERE 100 * shared >= 85 * (x.n + y.n - shared)
         ), r AS (
             SELECT doc_id AS a, doc_id AS b FROM documents
             UNION
