@@ -58,7 +58,7 @@ class Plan:
 
     spark: SparkSession
     sources: dict
-    #: (source, key) of documents at the cut that get one more copy.
+    #: (source, key, copies) that documents at the cut get besides.
     chosen: list
 
     def small(self, rows: list[dict], schema: str) -> DataFrame:
@@ -186,34 +186,55 @@ def find_cuts(plan: Plan, sized: DataFrame, rounds: int = 14) -> None:
     if not rows:
         return
     near = plan.join(margins.filter("m is not null"), plan.small(rows, "p_source string, a double, b double"), F.col("source").eqNullSafe(F.col("p_source")), "inner")
-    near = near.filter("m >= a and m < b").groupBy("source", "key").agg(F.sum("size").alias("w"))
+    near = near.filter("m >= a and m < b").groupBy("source", "key").agg(F.sum("size").alias("w"), F.max("whole").alias("f"))
     by: dict = {}
     for r in near.collect():
-        by.setdefault(r["source"], []).append((int(r["w"]), r["key"]))
+        by.setdefault(r["source"], []).append((int(r["w"]), r["key"], MOST - int(r["f"])))
     for s, docs in by.items():
-        room = plan.sources[s]["target"] - whole[s] - above[s]
-        rest = []
-        for words, key in sorted(docs, reverse=True):
-            if words <= room:
-                room -= words
-                plan.chosen.append((s, key))
-            else:
-                rest.append((words, key))
-        if rest and abs(room - rest[-1][0]) < room:  # one more is nearer than none
-            plan.chosen.append((s, rest[-1][1]))
+        goal = plan.sources[s]["target"]
+        more = fill(sorted(docs, reverse=True), goal - whole[s] - above[s], 0.001 * goal)
+        plan.chosen += [(s, key, n) for key, n in more.items() if n]
+
+
+def fill(docs: list[tuple[int, int, int]], room: float, close: float, tries: int = 16) -> dict[int, int]:
+    """Copies to add of (words, key, most), largest documents first, to fill the room.
+
+    One copy of each at first; where few documents leave more than ``close``
+    open, further copies; and one more of the least if that is nearer. While the
+    result isn't close, the same is tried without the first few documents.
+    """
+    found = None
+    for skip in range(max(1, min(tries, len(docs)))):
+        more, left = {key: 0 for _, key, _ in docs}, room
+        for words, key, _ in docs[skip:]:
+            more[key] = int(words <= left)
+            left -= words * more[key]
+        if left > close:
+            for words, key, most in docs[skip:]:
+                n = max(0, min(most - more[key], int(left // words)))
+                more[key], left = more[key] + n, left - n * words
+        open_ = [(words, key) for words, key, most in docs if more[key] < most]
+        if open_ and abs(left - open_[-1][0]) < left:
+            more[open_[-1][1]] += 1
+            left -= open_[-1][0]
+        if found is None or abs(left) < found[0]:
+            found = abs(left), more
+        if found[0] <= close:
+            break
+    return found[1]
 
 
 def with_copies(df: DataFrame, plan: Plan) -> DataFrame:
     """``df``, which has source, size and key, with its source's numbers and ``copies``."""
     at = plan.join(df, plan.parameters(), F.col("source").eqNullSafe(F.col("p_source")), "left").drop("p_source")
-    rows = [{"c_source": s, "c_key": k} for s, k in plan.chosen]
-    chosen = plan.small(rows, "c_source string, c_key bigint")
+    rows = [{"c_source": s, "c_key": k, "c_more": n} for s, k, n in plan.chosen]
+    chosen = plan.small(rows, "c_source string, c_key bigint, c_more int")
     same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("key") == F.col("c_key"))
     at = plan.join(at, chosen, same, "left")
     size, m = F.col("size"), margin(F.col("size"), F.col("key"))
-    more = F.when((m >= F.col("cut")) | F.col("c_key").isNotNull(), 1).otherwise(0)
+    more = F.coalesce("c_more", F.when(m >= F.col("cut"), 1).otherwise(0))
     copies = F.when(size > 0, F.least(F.lit(MOST), F.floor(rate(size)) + more)).otherwise(1).cast("long")
-    return at.withColumn("copies", copies).drop("c_source", "c_key", "tilt", "mean", "cut")
+    return at.withColumn("copies", copies).drop("c_source", "c_key", "c_more", "tilt", "mean", "cut")
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
