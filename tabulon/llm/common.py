@@ -86,16 +86,24 @@ def count_words(text: Column) -> Column:
 
 
 class Bounded(dict):
-    """A dict that fills itself and starts anew when it has ``most`` keys."""
+    """A dict that makes missing values and holds 2 * ``most`` keys at most.
+
+    When ``most`` keys are in, they become the older half and what it held goes;
+    a key that is asked for comes back from there.
+    """
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 

@@ -29,23 +29,36 @@ SEGMENT = 1 << 20
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
+def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control bytes and data bytes of each document's unsigned 32-bit values.
+
+    ``values`` are those of all documents, ``sizes`` how many each has. A
+    document's control bytes start anew.
+    """
     v = np.ascontiguousarray(values, dtype="<u4")
     code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    four = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    four[: len(v)] = code
+    fours = -(-sizes // 4)
+    starts, ends = np.cumsum(sizes) - sizes, np.cumsum(fours)
+    four = np.zeros(int(fours.sum()) * 4, np.uint8)
+    four[np.arange(len(v)) + np.repeat(4 * (ends - fours) - starts, sizes)] = code
     four = four.reshape(-1, 4)
-    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8) <= code[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
-
-
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` values, by lookup of lengths and one gather per byte."""
-    size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= code[:, None]].tobytes()
+    bytes_ = np.r_[0, np.cumsum(code.astype(np.int64) + 1)][np.r_[0, np.cumsum(sizes)]]
+    cuts = np.r_[0, ends]
+    cut = lambda all_, at: [all_[a:b] for a, b in zip(at, at[1:], strict=False)]
+    return cut(control, cuts), cut(data, bytes_)
+
+
+def unpack(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """All values of the documents, by lookup of lengths and a gather per byte."""
+    fours = -(-sizes // 4)
+    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)
+    starts = np.cumsum(sizes) - sizes
+    own = np.arange(int(sizes.sum())) + np.repeat(4 * (np.cumsum(fours) - fours) - starts, sizes)
+    size = lengths[own]
     at = np.cumsum(size, dtype=np.int64) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    raw = np.frombuffer(data, np.uint8)
     out = raw[at].astype(np.uint32)
     for i in (1, 2, 3):
         long = np.flatnonzero(size > i)
@@ -56,8 +69,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, per_part: int = 20_000) -> None:
     """Tokenize whole texts and write them under ``path`` in ascending doc_id order.
 
-    ``path/ids`` is a table of (doc_id, ids as bytes) that the ranks are counted
-    over, ``path/ranks`` has (id, n), ``path/segments`` the encoded files. Null
+    ``path/ids`` is a table of (doc_id, ids as bytes) with the counts of ids that
+    each task met, ``path/ranks`` has (id, n), ``path/segments`` the encoded files. Null
     texts are empty: the end id alone. Null ids come first; rows of one doc_id
     follow each other by their ids.
     """
@@ -65,26 +78,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pe
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer)
+        encode, total = encoder(tokenizer), np.zeros(1, np.int64)
         for pdf in batches:
             ids = [encode(t) + end for t in as_text(pdf["text"])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [narrow(x) for x in ids]})
+            n = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            yield pd.DataFrame({"counts": None, "doc_id": pdf["doc_id"], "ids": [narrow(x) for x in ids]})
+        yield pd.DataFrame({"counts": [total.astype("<i8").tobytes()], "doc_id": [None], "ids": [None]})
 
-    docs.mapInPandas(tokenize, "doc_id long, ids binary").write.option("compression", "zstd").parquet(f"{path}/ids")
-    ids = spark.read.parquet(f"{path}/ids")
+    made = docs.mapInPandas(tokenize, "counts binary, doc_id long, ids binary")
+    made.write.option("compression", "zstd").parquet(f"{path}/ids")
+    written = spark.read.parquet(f"{path}/ids")
+    ids = written.filter("ids is not null").select("doc_id", "ids")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1, np.int64)
         for pdf in batches:
-            for x in pdf["ids"]:
-                n = np.bincount(wide(x), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "n": total[at]})
-
-    counts = ids.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counts.write.parquet(f"{path}/ranks")
+            for x in pdf["counts"]:
+                n = np.frombuffer(x, "<i8")
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"id": at, "n": n[at]})
+
+    counts = written.filter("counts is not null").select("counts").mapInPandas(count, "id long, n long")
+    counts.groupBy("id").agg(F.sum("n").alias("n")).write.parquet(f"{path}/ranks")
     by_rank = ranks(spark, path)  # as many as the tokenizer has ids
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -93,11 +109,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pe
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sizes, codes, data = [], [], []
-            for x in pdf["ids"]:
-                v = shared.value[wide(x)]
-                a, b = pack(v)
-                sizes.append(len(v)), codes.append(a), data.append(b)
+            each = [wide(x) for x in pdf["ids"]]
+            sizes = np.array([len(x) for x in each], np.int64)
+            if not len(each):
+                continue
+            codes, data = pack(shared.value[np.concatenate(each)], sizes)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": sizes, "control": codes, "data": data})
 
     coded = ids.mapInPandas(encode, "doc_id long, n int, control binary, data binary")
@@ -160,18 +176,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for r in pdf.itertuples():
                 sizes = np.frombuffer(r.sizes, "<u4").astype(np.int64)
-                control, at = np.frombuffer(r.control, np.uint8), 0
-                starts_, checks, seen = [], [], 0
-                codes = -(-sizes // 4)
-                ends = np.cumsum(codes)
-                for n, a, b in zip(sizes, ends - codes, ends, strict=True):
-                    own = control[a:b]
-                    length = int(LENGTHS[own].reshape(-1)[:n].sum())
-                    v = by_rank.value[unpack(own.tobytes(), r.data[at : at + length], int(n))]
-                    at += length
-                    starts_.append(starts.value[r.part] + r.before + seen)
-                    checks.append(crc(v.astype("<u4").tobytes()))
-                    seen += int(n)
+                v = by_rank.value[unpack(r.control, r.data, sizes)].astype("<u4").tobytes()
+                ends = np.cumsum(sizes)
+                starts_ = starts.value[r.part] + r.before + ends - sizes
+                checks = [crc(v[4 * a : 4 * b]) for a, b in zip(ends - sizes, ends, strict=True)]
                 ids = pd.array([None if pd.isna(x) else int(x) for x in r.doc_ids], dtype="Int64")
                 yield pd.DataFrame({"doc_id": ids, "start": starts_, "n_tokens": sizes, "ids_crc32": checks})
 

@@ -68,7 +68,7 @@ class Grammar:
                 return "i", weight
             return (kinds[word], 0.0) if word in kinds else None
 
-        return Bounded(look, 200_000)
+        return Bounded(look, 100_000)
 
     def clause(self, states: list[tuple[str, float] | None]) -> float:
         """Run the composed transducers over the words of one clause."""
