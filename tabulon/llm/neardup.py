@@ -9,9 +9,9 @@ probability below 1e-4.
 
 What isn't shared can't be joined: a band that only one document has is dropped
 before the pairs of bands are formed, which leaves few rows. Within a table's
-bucket all documents are compared with the one of least id; those that are not
-linked to it meet again, in bounded blocks, with the bucket's other documents.
-Components come from rounds of joins on written tables.
+bucket all documents are compared with the one of least id. Documents of buckets
+that hold more than one component then meet by an exact way, a prefix filter over
+their rarest shingles. Components come from rounds of joins on written tables.
 """
 
 from __future__ import annotations
@@ -160,32 +160,63 @@ def components(nodes_of: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def residual_pairs(rows: DataFrame, roots: DataFrame, done: DataFrame, block: int = 64) -> DataFrame:
-    """Pairs of a bucket's documents that are in different components as yet.
+def unresolved(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) of the documents whose bucket holds more than one component.
 
-    Buckets whose documents are all in one component need no more pairs. The
-    rest are cut into blocks; each block meets itself and the later ones, so
-    that no task holds more than two blocks.
+    In a bucket of two the one pair has been compared already.
     """
-    rooted = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).select("key", "id", "root")
+    rooted = rows.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    open_ = open_.filter("lo < hi and n > 2").select("key", "n")
-    at = rooted.join(open_, "key")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
-    at = at.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root")
+    return rooted.join(open_.filter("lo < hi and n > 2").select("key"), "key").select("id", "root").distinct()
+
+
+def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 64) -> DataFrame:
+    """(a, b) among ``texts`` (id, root, text) that may be linked across components.
+
+    The exact way beyond buckets: sets of similarity t share one of the
+    n - ceil(t * n) + 1 shingles that are rarest among these documents. What a
+    copy has of its own is rarest, so copies that drifted apart share none of
+    those and make no pair. The documents of a shingle meet in blocks, and only
+    pairs of different components and of near sizes go on.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = word_hashes()
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                own = [shingle_hashes(t, words, k) for t in as_text(part["text"])]
+                n = np.array([len(h) for h in own])
+                if n.sum():
+                    col = lambda c: np.repeat(part[c].to_numpy(), n)  # noqa: B023, E731
+                    yield pd.DataFrame({"id": col("id"), "root": col("root"), "n": np.repeat(n, n), "h": np.concatenate(own).view(np.int64)})
+
+    each = spool(texts.mapInPandas(cut, "id long, root long, n long, h long"), "shingles")
+    met = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("df > 1")
+    shared = each.join(met, "h").groupBy("id").agg(
+        F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h", (F.col("lo") < F.col("hi")).alias("x")))).alias("s")
+    )
+    # Shingles of one document alone come first and take up the prefix.
+    need = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
+    left = F.greatest(F.lit(0), F.col("n").cast("int") - need + 1 - (F.col("n").cast("int") - F.size("s")))
+    keyed = shared.filter(left > 0).select("id", "root", "n", F.explode(F.slice("s", F.lit(1), left)).alias("t"))
+    keyed = keyed.filter("t.x").select(F.col("t.h").alias("key"), F.col("t.df").alias("df"), "id", "root", "n")
+    blocks = F.ceil(F.col("df") / block).cast("int")
+    at = keyed.withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n")
+    several = at.groupBy("key", "i", "j").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "i", "j")
+    at = at.join(several, ["key", "i", "j"])
 
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(key[1]), int(key[2])
         x, y = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        a, ra, b, rb = x["id"].to_numpy(), x["root"].to_numpy(), y["id"].to_numpy(), y["root"].to_numpy()
-        p, q = np.nonzero(ra[:, None] != rb[None]) if i != j else np.nonzero(np.triu(ra[:, None] != rb[None], 1))
-        lo, hi = np.minimum(a[p], b[q]), np.maximum(a[p], b[q])
-        return pd.DataFrame({"a": hi, "b": lo})
+        a, ra, n, b, rb, m = (d[c].to_numpy() for d in (x, y) for c in ("id", "root", "n"))
+        near = (ra[:, None] != rb[None]) & (100 * np.minimum(n[:, None], m[None]) >= percent * np.maximum(n[:, None], m[None]))
+        p, q = np.nonzero(near if i != j else np.triu(near, 1))
+        return pd.DataFrame({"a": np.maximum(a[p], b[q]), "b": np.minimum(a[p], b[q])})
 
-    met = at.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
-    return met.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    return at.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
@@ -215,9 +246,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     checked = spool(verify(first, texts_of(first), k, percent), "verified")
     links = checked.filter("linked")
     roots = components(links, "roots")
-    rest = spool(residual_pairs(rows, roots, checked), "residual")
-    if not rest.isEmpty():
-        more = spool(verify(rest, texts_of(rest), k, percent), "verified-rest").filter("linked")
+    open_ = spool(unresolved(rows, roots), "unresolved")
+    n_open = open_.count()
+    if n_open:
+        few = F.broadcast(open_) if n_open <= FEW else open_
+        texts = named.join(few, "id").dropDuplicates(["id"])
+        rest = prefix_pairs(texts, k, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        rest = spool(rest, "residual")
+        more = spool(verify(rest, texts_of(rest), k, percent).filter("linked"), "verified-rest")
         if not more.isEmpty():
             star = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
             roots = components(star.unionByName(more.select("a", "b")), "all-roots")
