@@ -177,7 +177,8 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 64) -> Dat
     n - ceil(t * n) + 1 shingles that are rarest among these documents. What a
     copy has of its own is rarest, so copies that drifted apart share none of
     those and make no pair. The documents of a shingle meet in blocks, and only
-    pairs of different components and of near sizes go on.
+    pairs of different components go on whose sizes and whose places of the
+    shingle leave room for the intersection they need.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,20 +200,24 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 64) -> Dat
     # Shingles of one document alone come first and take up the prefix.
     need = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
     left = F.greatest(F.lit(0), F.col("n").cast("int") - need + 1 - (F.col("n").cast("int") - F.size("s")))
-    keyed = shared.filter(left > 0).select("id", "root", "n", F.explode(F.slice("s", F.lit(1), left)).alias("t"))
-    keyed = keyed.filter("t.x").select(F.col("t.h").alias("key"), F.col("t.df").alias("df"), "id", "root", "n")
+    own_only = (F.col("n").cast("int") - F.size("s")).alias("u")
+    keyed = shared.filter(left > 0).select("id", "root", "n", own_only, F.posexplode(F.slice("s", F.lit(1), left)).alias("p", "t"))
+    rest = F.col("n") - F.col("u") - F.col("p")  # shingles from this one on, in the common order
+    keyed = keyed.filter("t.x").select(F.col("t.h").alias("key"), F.col("t.df").alias("df"), "id", "root", "n", rest.alias("rest"))
     blocks = F.ceil(F.col("df") / block).cast("int")
     at = keyed.withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n")
+    at = at.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "root", "n", "rest")
     several = at.groupBy("key", "i", "j").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "i", "j")
     at = at.join(several, ["key", "i", "j"])
 
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(key[1]), int(key[2])
         x, y = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        a, ra, n, b, rb, m = (d[c].to_numpy() for d in (x, y) for c in ("id", "root", "n"))
+        a, ra, n, r, b, rb, m, s = (d[c].to_numpy() for d in (x, y) for c in ("id", "root", "n", "rest"))
         near = (ra[:, None] != rb[None]) & (100 * np.minimum(n[:, None], m[None]) >= percent * np.maximum(n[:, None], m[None]))
+        # From the first shared shingle on, both have to hold the whole intersection.
+        near &= (100 + percent) * np.minimum(r[:, None], s[None]) >= percent * (n[:, None] + m[None])
         p, q = np.nonzero(near if i != j else np.triu(near, 1))
         return pd.DataFrame({"a": np.maximum(a[p], b[q]), "b": np.minimum(a[p], b[q])})
 
