@@ -170,7 +170,7 @@ def unresolved(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(open_.filter("lo < hi and n > 2").select("key"), "key").select("id", "root").distinct()
 
 
-def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 64) -> DataFrame:
+def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
     """(a, b) among ``texts`` (id, root, text) that may be linked across components.
 
     The exact way beyond buckets: sets of similarity t share one of the
@@ -203,7 +203,13 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 64) -> Dat
     own_only = (F.col("n").cast("int") - F.size("s")).alias("u")
     keyed = shared.filter(left > 0).select("id", "root", "n", own_only, F.posexplode(F.slice("s", F.lit(1), left)).alias("p", "t"))
     rest = F.col("n") - F.col("u") - F.col("p")  # shingles from this one on, in the common order
-    keyed = keyed.filter("t.x").select(F.col("t.h").alias("key"), F.col("t.df").alias("df"), "id", "root", "n", rest.alias("rest"))
+    keyed = keyed.filter("t.x").select(F.col("t.h").alias("key"), "id", "root", "n", rest.alias("rest"))
+    # Even with the least set that has the shingle, a document needs so much of its own.
+    sizes = keyed.groupBy("key").agg(F.min("n").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    enough = (100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))
+    keyed = keyed.join(sizes.select("key", "least"), "key").filter(enough).drop("least")
+    met = keyed.groupBy("key").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    keyed = keyed.join(met.select("key", "df"), "key")
     blocks = F.ceil(F.col("df") / block).cast("int")
     at = keyed.withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
