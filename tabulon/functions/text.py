@@ -92,8 +92,7 @@ def float_of(c: Column) -> Column:
     """What Python's float() accepts, as a double; else null."""
     c = strip(c)
     odd = F.lower(F.regexp_replace(c, r"^\+", ""))
-    odd = F.when(odd == "nan", F.lit(float("nan"))).when(odd.isin("inf", "infinity"), F.lit(float("inf"))).when(odd.isin("-inf", "-infinity"), F.lit(float("-inf")))
-    odd = F.when(odd.isin("-nan"), F.lit(float("nan"))).otherwise(odd)
+    odd = F.when(odd.isin("nan", "-nan"), F.lit(float("nan"))).when(odd.isin("inf", "infinity"), F.lit(float("inf"))).when(odd.isin("-inf", "-infinity"), F.lit(float("-inf")))
     return F.when(c.rlike(NUMBER), F.replace(c, F.lit("_"), F.lit("")).try_cast("double")).when(c.rlike(ODD_NUMBER), odd)
 
 
