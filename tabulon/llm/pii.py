@@ -11,7 +11,7 @@ identifier-like strings that no base form covers.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,6 +35,9 @@ DIGITS = re.compile(r"[0-9]")
 LIKE = re.compile(r"[^\s@,;:|<>\"'()\[\]]+@[^\s@,;:|<>\"'()\[\]]+|\+?[0-9](?:[ ().-]{0,2}[0-9])+")
 WORDS_BEFORE = re.compile(r"(\S+)\s+(\S+)\s*$|(\S+)\s*$")
 
+#: Up to so many accepted contexts, every task holds them all.
+FEW = 50_000
+
 Span = tuple[str, int, int]
 
 
@@ -135,8 +138,8 @@ def edges(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "context string, instance string, kind string").distinct()
 
 
-def learn_contexts(docs: DataFrame, rounds: int = 3, least: int = 4, accept: float = 0.8, most: int = 4096) -> dict[tuple[str, str], float]:
-    """{(context, kind): score} of the contexts to trust, ``most`` at most.
+def learn_contexts(docs: DataFrame, rounds: int = 3, least: int = 4, accept: float = 0.8) -> DataFrame:
+    """(context, kind, p): a written table of all contexts to trust.
 
     A context needs ``least`` distinct known instances of a kind; its score is
     their summed scores over one more than all its instances. Instances gain
@@ -157,15 +160,13 @@ def learn_contexts(docs: DataFrame, rounds: int = 3, least: int = 4, accept: flo
             .join(sizes, "context")
             .select("context", "kind", (F.col("sum") / (F.col("size") + 1)).alias("p"))
             .filter(F.col("p") >= accept)
-            .orderBy(F.desc("p"), "context", "kind")
-            .limit(most)
         )
         accepted = spool(accepted, f"accepted{turn}")
         if turn + 1 < rounds:
             gain = pairs.join(accepted, "context").groupBy("instance", "kind")
             found = gain.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("s"))
             known = spool(found.join(seeds, ["instance", "kind"], "left_anti").unionByName(seeds), f"known{turn}")
-    return {(r["context"], r["kind"]): float(r["p"]) for r in accepted.collect()}
+    return accepted
 
 
 def all_spans(text: str, trusted: dict[tuple[str, str], float], accept: float = 0.8) -> tuple[list[Span], list[Span]]:
@@ -181,6 +182,59 @@ def all_spans(text: str, trusted: dict[tuple[str, str], float], accept: float =
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def marks(texts: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(key, marks) of the texts (key, text) in which accepted contexts mark something.
+
+    The same choice as in ``all_spans``: of all contexts and kinds that fit the
+    best score, then the kind that is listed first.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, text in zip(pdf["key"], as_text(pdf["text"]), strict=True):
+                for a, b, s in candidates(text, base_spans(text)):
+                    kinds = [(i, k) for i, k in enumerate(KINDS) if fits(k, s)]
+                    out += [(key, a, b, c, k, -i) for c in contexts(text, a, b) for i, k in kinds]
+            yield pd.DataFrame(out, columns=["key", "a", "b", "context", "kind", "i"])
+
+    each = texts.mapInPandas(run, "key binary, a int, b int, context string, kind string, i int")
+    best = each.join(accepted, ["context", "kind"]).groupBy("key", "a", "b").agg(F.max(F.struct("p", "i", "kind")).alias("best"))
+    return best.groupBy("key").agg(F.collect_list(F.struct("best.kind", "a", "b")).alias("marks"))
+
+
+def apply_spans(own: DataFrame, text: str, accepted: DataFrame, name: str, make: Callable[[str | None, list[Span], list[Span]], object], kind: str) -> DataFrame:
+    """``own`` and a column ``name``: make(text, base spans, all spans).
+
+    While the accepted contexts are counted to be few, every task holds them.
+    Otherwise they are joined to the candidates of each distinct text, and what
+    they mark is joined to the rows by a digest of the text.
+    """
+    if accepted.count() <= FEW:
+        trusted = {(r["context"], r["kind"]): r["p"] for r in accepted.collect()}
+
+        @F.pandas_udf(kind)
+        def found(texts: pd.Series) -> pd.Series:
+            given = (t if isinstance(t, str) else None for t in texts)
+            return pd.Series([make(t, *all_spans(t or "", trusted)) for t in given], dtype=object)
+
+        return own.withColumn(name, found(F.col(text)))
+    key = F.unhex(F.sha2(F.col(text), 256))
+    marked = marks(own.select(key.alias("key"), F.col(text).alias("text")).filter("text is not null").distinct(), accepted)
+
+    @F.pandas_udf(kind)
+    def found_marks(texts: pd.Series, more: pd.Series) -> pd.Series:
+        out = []
+        for t, m in zip((t if isinstance(t, str) else None for t in texts), more, strict=True):
+            base = base_spans(t or "")
+            spans = [] if m is None else [(x["kind"], int(x["a"]), int(x["b"])) for x in m]
+            out.append(make(t, base, sorted(base + spans, key=lambda x: (x[1], KINDS.index(x[0])))))
+        return pd.Series(out, dtype=object)
+
+    rows = own.withColumn("key", key).join(marked, "key", "left")
+    return rows.select(*own.columns, found_marks(F.col(text), "marks").alias(name))
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -192,17 +246,10 @@ def find_pii(docs: DataFrame, **options) -> DataFrame:
     repeated rows give repeated rows.
     """
     docs = pick(docs, "doc_id", "text")
-    trusted = learn_contexts(docs, **options)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [all_spans(t, trusted) for t in as_text(pdf["text"])]
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "base": [joined(b) for b, _ in found], "spans": [joined(s) for _, s in found]}
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"doc_id {kind}, base string, spans string")
+    both = lambda t, base, spans: f"{joined(base)};{joined(spans)}"
+    found = apply_spans(docs, "text", learn_contexts(docs, **options), "found", both, "string")
+    each = F.split("found", ";")
+    return found.select("doc_id", each[0].alias("base"), each[1].alias("spans"))
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
@@ -214,20 +261,16 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     own = docs.toDF(*(f"_c{i}" for i in range(len(names))))
     text = f"_c{names.index('text')}"
-    trusted = learn_contexts(pick(docs, "text"), **options)
 
-    def clean(value):
-        if not isinstance(value, str):
+    def clean(value: str | None, base: list[Span], spans: list[Span]) -> str | None:
+        if value is None:
             return None
         out, end = [], 0
-        for kind, a, b in all_spans(value, trusted)[1]:
+        for kind, a, b in spans:
             if a >= end:
                 out += [value[end:a], f"[{kind.upper()}]"]
             end = max(end, b)
         return "".join([*out, value[end:]])
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(clean)
-
-    return own.withColumn(text, cleaned(text)).toDF(*names)
+    out = apply_spans(own, text, learn_contexts(pick(docs, "text"), **options), "_clean", clean, "string")
+    return out.select(*("_clean" if c == text else c for c in own.columns)).toDF(*names)

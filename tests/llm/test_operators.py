@@ -158,6 +158,28 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_contexts_that_tasks_do_not_hold(spark, monkeypatch):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    rows = [(None if i == 3 else i, f"{word(i)} ring {word(i)}x +1 ({i + 100}) 555-{j:02d}{j:02d} {word(i)}y") for i in range(100) for j in range(9)]
+    late = [(10_000 + i, f"{word(i)} ring {word(i)}x 555-867-5309 {word(i)}y") for i in range(100)]
+    df = spark.createDataFrame([*rows, *late, *late[:2], (None, None), (1, "")], "doc_id long, text string")
+    every = lambda: sorted(map(str, [*pii.find_pii(df).collect(), *pii.redact(df).collect()]))
+    few = every()
+    assert len(few) == 2 * (len(rows) + len(late) + 4) and "10099, base='', spans='phone:16:28'" in " ".join(few)
+    monkeypatch.setattr(pii, "FEW", 100)
+    assert every() == few
+
+
+def test_rare_contexts_are_not_cut(spark):
+    """Beyond the 4,096 contexts that once were kept, those with the least scores count too."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
+    rows = [(i, f"q {word(i)} +1 ({i % 900 + 100}) 555-{j:02d}{j:02d} z") for i in range(2200) for j in range(6)]
+    rare = [(20_000 + j, f"rare spot +1 (777) 555-{j:02d}{j:02d} here") for j in range(9)]
+    late = [(30_000, "rare spot 555-867-5309 here")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame([*rows, *rare, *late], "doc_id long, text string"), rounds=1).collect()}
+    assert got[30_000] == "phone:10:22"
+
+
 def test_mix(spark):
     df, rows = corpus(spark)
     got = mixing.mix(df).collect()
