@@ -2,9 +2,10 @@
 
 The filter holds, for each n-gram, one entry for every level up to the logarithm
 of its count, so a count is read back by probing level after level until one is
-missing. Unigrams and bigrams have a filter each. The filters are broadcast;
-their size has a fixed bound, and where the n-grams exceed it the least counts
-are left to smoothing (for bigrams those of one occurrence always are).
+missing. Unigrams and bigrams have a filter each. No task holds a whole filter:
+each hash range makes the segments of its own n-grams, as many as its entries
+need, and answers the probes of all batches of documents in that range. n-grams
+of all counts are held, and the filters grow with the input.
 
 A word's probability mixes what the context predicts with the word's own rate:
 
@@ -15,16 +16,16 @@ greatest below the line, so that predictions of a context sum to one at most. Th
 weight l depends on the level of c(h) and is fitted to all training texts, each
 token scored as if it had not been counted.
 
-The add-one baseline needs exact counts, which no broadcast can hold. Words of a
-document are sent to the hash ranges they belong to, packed, and each range
-returns what it adds to each document's sum.
+Words and bigrams of a batch of documents are sent to the hash ranges they
+belong to, packed. Each range returns a level for each of them, and what it adds
+to each document's sum in the add-one baseline, which has exact counts.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,6 @@ MASK = np.uint64((1 << 56) - 1)
 TOGETHER, RANGE_BYTES = 512, 32 << 20
 #: Probes of an entry, bits for it, and bits of one segment of a filter.
 PROBES, ENTRY_BITS, SEGMENT_BITS = 5, 12, 1 << 19
-#: Bound of both filters together, in bytes.
-MOST_BYTES = 96 << 20
 LEVELS = 48
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
 
@@ -119,15 +118,19 @@ def set_bits(h: np.ndarray, q: np.ndarray, first: int, segments: int, low: int,
 
 @dataclass
 class Filter:
-    """Levels of n-grams, read by repeated membership probes."""
+    """Levels of n-grams, read by repeated membership probes.
+
+    ``data`` has the segments from ``low`` on.
+    """
 
     data: np.ndarray
     segments: int
     first: int
+    low: int = 0
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         q, alive = np.zeros(len(h), np.int64), np.arange(len(h))
-        base = bucket_of(h, self.segments) * np.uint64(SEGMENT_BITS)
+        base = (bucket_of(h, self.segments) - np.uint64(self.low)) * np.uint64(SEGMENT_BITS)
         for lv in range(self.first, LEVELS):
             g = entry(h[alive], lv)
             for i in range(PROBES):
@@ -140,44 +143,24 @@ class Filter:
         return q
 
 
-@dataclass
-class Model:
-    """Both filters and what the probabilities need besides."""
-
-    uni: Filter
-    bi: Filter
-    z: float
-    texts: int
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(LEVELS))
-
-    def parts(self, h: np.ndarray, before: np.ndarray, left_out: bool):
-        """(level of the context, p from the context, p of the word alone).
-
-        With ``left_out`` one occurrence is taken off each count.
-        """
-        one = 1.0 if left_out else 0.0
-        words, at = np.unique(h, return_inverse=True)
-        q_words = self.uni.levels(words)
-        own = np.maximum(middle_of(q_words) - one, 0)[at]
-        spot = np.searchsorted(words, before)
-        spot[spot == len(words)] = 0
-        known = words[spot] == before
-        q_before = np.where(known, q_words[spot], 0)
-        other = np.flatnonzero(~known & (before != START))
-        if len(other):
-            q_before[other] = self.uni.levels(before[other])
-        start = before == START
-        q_before[start] = level(np.array([max(1, self.texts)]))[0]
-        pairs, where = np.unique(bigrams(h, before), return_inverse=True)
-        q_pair = self.bi.levels(pairs)[where]
-        seen = np.maximum(least_of(q_pair) - one, 0)
-        p2 = np.minimum(1.0, np.where(q_before > 0, seen / np.maximum(most_of(q_before) - one, 1), 0))
-        return q_before, p2, (own + 1) / self.z
-
-    def score(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        q, p2, p1 = self.parts(h, before, False)
-        w = self.weight[q]
-        return np.log10(w * p2 + (1 - w) * p1)
+def read_back(h: np.ndarray, counts: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Levels of the n-grams of a hash range as its part of the filter gives them."""
+    q = level(counts)
+    each = max(1, -(-int(q.sum()) * ENTRY_BITS // SEGMENT_BITS))
+    held = counts > 0
+    data = set_bits(h[held], q[held], 1, each * buckets, bucket * each, each)
+    return Filter(data, each * buckets, 1, bucket * each).levels(h).astype(np.uint8)
+
+
+def parts(before: np.ndarray, own: np.ndarray, pair: np.ndarray, z: float, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(p from the context, p of the word alone) by levels of context, word and bigram.
+
+    With ``left_out`` one occurrence is taken off each count.
+    """
+    one = 1.0 if left_out else 0.0
+    seen = np.maximum(least_of(pair) - one, 0)
+    p2 = np.minimum(1.0, np.where(before > 0, seen / np.maximum(most_of(before) - one, 1), 0))
+    return p2, (np.maximum(middle_of(own) - one, 0) + 1) / z
 
 
 def grouped(pdf: pd.DataFrame, words: Bounded, most: int = TOGETHER):
@@ -193,12 +176,18 @@ def grouped(pdf: pd.DataFrame, words: Bounded, most: int = TOGETHER):
         yield slice(at, at + len(held)), h, before, sizes
 
 
+def first_of(sizes: np.ndarray) -> np.ndarray:
+    """Places of the first tokens of documents."""
+    return np.cumsum(sizes) - sizes
+
+
 def gather(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed words and bigrams by hash range, and what the ranges make of them.
 
-    Rows (kind, batch, bucket, n, a, b): 0 a batch's documents, 1 what a range
-    adds to a batch's documents, 2 a range's words with their counts, 3 a range's
-    bigrams of two or more occurrences with theirs.
+    Rows (kind, batch, bucket, n, a, b, c): 0 a batch's documents, their distinct
+    words and the place of each token's among these; 1 what a range adds to a
+    batch's documents, and the levels of the batch's words; 2 the levels of its
+    bigrams; 3 how many words a range has, by level.
     """
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,10 +201,10 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
                 header = {
                     "doc_id": [None if pd.isna(x) else int(x) for x in pdf["doc_id"][rows]],
                     "held_out": [None if pd.isna(x) else int(x) for x in pdf["held_out"][rows]],
-                    "text_hash": pdf["text_hash"][rows].tolist(),
                     "n": sizes.tolist(),
                 }
-                out = [(0, number, number % buckets, int(sizes[own].sum()), json.dumps(header).encode(), b"", b"")]
+                distinct, at = np.unique(h, return_inverse=True)
+                out = [(0, number, number % buckets, int(sizes[own].sum()), json.dumps(header).encode(), seven(distinct), at.astype("<u4").tobytes())]
                 # by hash and then document: equal neighbours are one entry
                 order = np.lexsort((doc, h))
                 x, d = h[order], doc[order]
@@ -227,7 +216,8 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
                 for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
                     if a < b:
                         out.append((1, number, i, b - a, seven(x[a:b]), by_doc[a:b].tobytes(), tf[a:b].astype("<u4").tobytes()))
-                pairs, n = np.unique(bigrams(h, before)[own[doc]], return_counts=True)
+                pairs, at = np.unique(bigrams(h, before), return_inverse=True)
+                n = np.bincount(at, weights=own[doc], minlength=len(pairs)).astype(np.int64)
                 edge = np.searchsorted(bucket_of(pairs, buckets), np.arange(buckets + 1))
                 for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
                     if a < b:
@@ -237,106 +227,100 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = int(key[0]), int(key[1])
         if kind == 0:
-            return pdf[["kind", "batch", "bucket", "n", "a", "b"]]
+            return pdf
         x = eight(b"".join(pdf["a"]))
         if kind == 2:
             n = np.frombuffer(b"".join(pdf["b"]), "<u4")
             pairs, at = np.unique(x, return_inverse=True)
-            n = np.bincount(at, weights=n).astype(np.int64)
-            more = n > 1
-            row = (3, 0, bucket, int(more.sum()), seven(pairs[more]), np.minimum(n[more], 0xFFFFFFFF).astype("<u4").tobytes())
-            return pd.DataFrame([row], columns=["kind", "batch", "bucket", "n", "a", "b"])
+            n = np.bincount(at, weights=n, minlength=len(pairs)).astype(np.int64)
+            q = read_back(pairs, n, bucket, buckets)[at]
+            end = np.cumsum(pdf["n"].to_numpy())
+            out = [(2, i, bucket, m, q[e - m : e].tobytes(), b"", b"") for i, m, e in zip(pdf["batch"], pdf["n"], end, strict=True)]
+            return pd.DataFrame(out, columns=["kind", "batch", "bucket", "n", "a", "b", "c"])
         doc, tf = np.frombuffer(b"".join(pdf["b"]), "<u2"), np.frombuffer(b"".join(pdf["c"]), "<u4")
         words, at = np.unique(x, return_inverse=True)
-        del x
         count = np.bincount(at, weights=np.where(doc & 0x8000, 0, tf), minlength=len(words)).astype(np.int64)
         adds = (np.log10(count + 1.0)[at] * tf)
         known = np.where(count[at] > 0, tf, 0)
         doc = (doc & 0x7FFF).astype(np.int64)
+        q = read_back(words, count, bucket, buckets)
         out, end = [], np.cumsum(pdf["n"].to_numpy())
         for batch, n, e in zip(pdf["batch"], pdf["n"], end, strict=True):
             own = slice(e - n, e)
             sums = np.bincount(doc[own], weights=adds[own])
             ks = np.bincount(doc[own], weights=known[own])
-            out.append((1, batch, bucket, len(sums), sums.astype("<f8").tobytes(), ks.astype("<u4").tobytes()))
-        seen = count > 0
-        out.append((2, 0, bucket, int(seen.sum()), seven(words[seen]), np.minimum(count[seen], 0xFFFFFFFF).astype("<u4").tobytes()))
-        return pd.DataFrame(out, columns=["kind", "batch", "bucket", "n", "a", "b"])
+            levels = q[at[own][np.r_[True, x[own][1:] != x[own][:-1]]]]
+            out.append((1, batch, bucket, len(sums), sums.astype("<f8").tobytes(), ks.astype("<u4").tobytes(), levels.tobytes()))
+        by_level = np.bincount(q, minlength=LEVELS).astype("<i8")
+        by_level[0] = 0
+        out.append((3, 0, bucket, int((count > 0).sum()), by_level.tobytes(), b"", b""))
+        return pd.DataFrame(out, columns=["kind", "batch", "bucket", "n", "a", "b", "c"])
 
     sent = docs.mapInPandas(send, "kind int, batch long, bucket int, n long, a binary, b binary, c binary")
-    out = sent.groupBy("kind", "bucket").applyInPandas(meet, "kind int, batch long, bucket int, n long, a binary, b binary")
+    out = sent.groupBy("kind", "bucket").applyInPandas(meet, "kind int, batch long, bucket int, n long, a binary, b binary, c binary")
     return spool(out, "ngrams")
 
 
-def plan_filters(ngrams: DataFrame, buckets: int, most_bytes: int) -> dict[int, tuple[int, int]]:
-    """{kind: (least count held, segments)} within the bound of bytes.
+def assemble(ngrams: DataFrame, per_token: float, texts: int) -> DataFrame:
+    """Batches of documents with their baseline and the levels of their tokens.
 
-    While all entries need more bits, the kind with more of them gives up the
-    n-grams of its least level.
+    (head, base, known, before, own, pair): documents as JSON, baseline and known
+    tokens of each, and levels of each token's context, word and bigram.
     """
+    start = level(np.array([max(1, texts)]))[0]
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict = {}
-        for pdf in batches:
-            for kind, b in zip(pdf["kind"], pdf["b"], strict=True):
-                total[kind] = total.get(kind, 0) + np.bincount(level(np.frombuffer(b, "<u4")), minlength=LEVELS)
-        for kind, n in total.items():
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"kind": kind, "q": at, "n": n[at]})
-
-    rows = ngrams.filter("kind in (2, 3)").select("kind", "b").mapInPandas(tally, "kind int, q long, n long")
-    count = {2: np.zeros(LEVELS, np.int64), 3: np.zeros(LEVELS, np.int64)}
-    for r in rows.groupBy("kind", "q").agg(F.sum("n").alias("n")).collect():
-        count[r["kind"]][r["q"]] = r["n"]
-    first = {2: 1, 3: 2}
-    entries = lambda k: sum(int(count[k][q:].sum()) for q in range(first[k], LEVELS))
-    while sum(entries(k) for k in first) * ENTRY_BITS > most_bytes * 8:
-        first[max(first, key=entries)] += 1
-    per = lambda k: -(-entries(k) * ENTRY_BITS // (SEGMENT_BITS * buckets))
-    return {k: (first[k], max(1, per(k)) * buckets) for k in first} | {"count": count}
-
-
-def build(ngrams: DataFrame, kind: int, first: int, segments: int, buckets: int) -> Filter:
-    """The filter of one kind; each hash range makes its own segments."""
-    each = segments // buckets
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf[pdf["kind"] == 0].iloc[0]
+        n = np.array(json.loads(row["a"])["n"])
+        base, known = -per_token * n, np.zeros(len(n), np.int64)
+        ranges = pdf.sort_values("bucket")
+        for r in ranges[ranges["kind"] == 1].itertuples():
+            base[: r.n] += np.frombuffer(r.a, "<f8")
+            known[: r.n] += np.frombuffer(r.b, "<u4")
+        # Ranges are in the order of hashes, as distinct n-grams are.
+        words = np.frombuffer(b"".join(ranges["c"][ranges["kind"] == 1]), np.uint8)
+        pairs = np.frombuffer(b"".join(ranges["a"][ranges["kind"] == 2]), np.uint8)
+        at = np.frombuffer(row["c"], "<u4")
+        h, own = eight(row["b"])[at], words[at]
+        before, q = np.empty_like(h), np.empty_like(own)
+        before[1:], q[1:] = h[:-1], own[:-1]
+        before[first_of(n)], q[first_of(n)] = START, start
+        where = np.unique(bigrams(h, before), return_inverse=True)[1]
+        out = (row["a"], base.astype("<f8").tobytes(), known.astype("<i8").tobytes(), q.tobytes(), own.tobytes(), pairs[where].tobytes())
+        return pd.DataFrame([out], columns=["head", "base", "known", "before", "own", "pair"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for bucket, a, b in zip(pdf["bucket"], pdf["a"], pdf["b"], strict=True):
-                data = set_bits(eight(a), level(np.frombuffer(b, "<u4")), first, segments, bucket * each, each)
-                yield pd.DataFrame({"bucket": [bucket], "data": [data.tobytes()]})
+    rows = ngrams.filter("kind < 3").groupBy("batch")
+    return spool(rows.applyInPandas(meet, "head binary, base binary, known binary, before binary, own binary, pair binary"), "levels")
 
-    rows = ngrams.filter(F.col("kind") == kind).select("bucket", "a", "b").mapInPandas(run, "bucket int, data binary")
-    size = each * SEGMENT_BITS // 8
-    out = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for r in rows.toLocalIterator():  # bounded by most_bytes
-        out[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(r["data"], np.uint8)
-    return Filter(out, segments, first)
 
+def levels_of(row) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8).astype(np.int64) for x in (row.before, row.own, row.pair)]
 
-def fit_weights(docs: DataFrame, model: Model) -> np.ndarray:
+
+def fit_weights(batches_of: DataFrame, z: float) -> np.ndarray:
     """For each level of a context, the weight that suits all training texts best."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = word_hashes(), np.zeros((LEVELS, len(GRID)))
+        total = np.zeros((LEVELS, len(GRID)))
         for pdf in batches:
-            for _, h, before, _ in grouped(pdf, words):
-                q, p2, p1 = shared.value.parts(h, before, True)
+            for row in pdf.itertuples():
+                head = json.loads(row.head)
+                train = np.repeat([x == 0 for x in head["held_out"]], head["n"])
+                q, own, pair = (x[train] for x in levels_of(row))
+                p2, p1 = parts(q, own, pair, z, True)
                 for i, w in enumerate(GRID):
                     total[:, i] += np.bincount(q, weights=np.log(w * p2 + (1 - w) * p1), minlength=LEVELS)
         yield pd.DataFrame({"q": np.arange(LEVELS), "sums": list(total)})
 
-    rows = docs.filter("held_out = 0").mapInPandas(run, "q int, sums array<double>")
+    rows = batches_of.mapInPandas(run, "q int, sums array<double>")
     each = rows.select("q", F.posexplode("sums").alias("i", "s")).groupBy("q", "i").agg(F.sum("s").alias("s"))
     total = np.zeros((LEVELS, len(GRID)))
     for r in each.collect():
         total[r["q"], r["i"]] = r["s"]
-    shared.unpersist()
     return GRID[np.argmax(total, axis=1)]
 
 
-def score_texts(docs: DataFrame, mod: int = 7, rest: int = 2, most_bytes: int = MOST_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Learned from the rows whose crc32 of doc_id as text leaves another remainder
@@ -345,58 +329,33 @@ def score_texts(docs: DataFrame, mod: int = 7, rest: int = 2, most_bytes: int =
     and its held_out is null. Repeated rows give repeated rows. n-grams are
     told apart by 56-bit hashes.
     """
-    spark = docs.sparkSession
     left = F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(mod) == F.lit(rest)
-    docs = pick(docs, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", left.cast("int").alias("held_out"), F.xxhash64("text").alias("text_hash")
-    )
-    n_docs, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", left.cast("int").alias("held_out"))
+    size, texts = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("held_out") == 0, 1))).first()
     buckets = max(8, -(-(size or 0) // RANGE_BYTES))
     ngrams = gather(docs, buckets)
-    sums = {r["kind"]: r["n"] for r in ngrams.filter("kind in (0, 2)").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    train_tokens, vocabulary = sums.get(0) or 0, sums.get(2) or 0
-    plan = plan_filters(ngrams, buckets, most_bytes)
-    count = plan["count"][2][plan[2][0] :]
-    z = float((count * (middle_of(np.arange(plan[2][0], LEVELS)) + 1)).sum() + 1)
-    texts = docs.filter("held_out = 0").count()
-    filters = [build(ngrams, kind, *plan[kind], buckets) for kind in (2, 3)]
-    model = Model(*filters, z, texts)
-    model.weight = fit_weights(docs, model)
-    shared = spark.sparkContext.broadcast(model)
+    train_tokens = ngrams.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    vocabulary, count = 0, np.zeros(LEVELS, np.int64)
+    for r in ngrams.filter("kind = 3").select("n", "a").toLocalIterator():
+        vocabulary, count = vocabulary + r["n"], count + np.frombuffer(r["a"], "<i8")
+    z = float((count[1:] * (middle_of(np.arange(1, LEVELS)) + 1)).sum() + 1)
+    batches_of = assemble(ngrams, float(np.log10(train_tokens + vocabulary + 1)), texts)
+    weight = fit_weights(batches_of, z)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_hashes()
         for pdf in batches:
-            out = []
-            for _, h, before, sizes in grouped(pdf, words):
-                out.append(np.add.reduceat(shared.value.score(h, before), np.cumsum(sizes) - sizes))
-            scores = np.concatenate(out) if out else np.empty(0)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "text_hash": pdf["text_hash"], "score": scores})
-
-    scored = docs.mapInPandas(run, "doc_id long, text_hash long, score double")
-    base = add_up(ngrams, float(np.log10(train_tokens + vocabulary + 1)))
-    base = base.groupBy("doc_id", "text_hash").agg(*(F.first(c).alias(c) for c in ("held_out", "n_tokens", "n_known", "base_score")))
-    base = base.withColumnRenamed("doc_id", "b_id").withColumnRenamed("text_hash", "b_hash")
-    same = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash"))
-    return scored.join(base, same).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
-    )
-
-
-def add_up(ngrams: DataFrame, per_token: float) -> DataFrame:
-    """Documents with their baseline, from what the hash ranges returned."""
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = json.loads(pdf.loc[pdf["kind"] == 0, "a"].iloc[0])
-        n = np.array(head["n"])
-        score, known = -per_token * n, np.zeros(len(n), np.int64)
-        for r in pdf[pdf["kind"] == 1].sort_values("bucket").itertuples():
-            score[: r.n] += np.frombuffer(r.a, "<f8")
-            known[: r.n] += np.frombuffer(r.b, "<u4")
-        out = {"doc_id": head["doc_id"], "text_hash": head["text_hash"], "held_out": head["held_out"], "n_tokens": n, "n_known": known, "base_score": score}
-        out = pd.DataFrame(out).astype({"doc_id": "Int64"})
-        out["held_out"] = out["held_out"].map(lambda x: None if pd.isna(x) else bool(x)).astype(object)
-        return out
-
-    rows = ngrams.filter("kind in (0, 1)").groupBy("batch")
-    return rows.applyInPandas(meet, "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, base_score double")
+            for row in pdf.itertuples():
+                head = json.loads(row.head)
+                n = np.array(head["n"])
+                q, own, pair = levels_of(row)
+                p2, p1 = parts(q, own, pair, z, False)
+                w = weight[q]
+                score = np.add.reduceat(np.log10(w * p2 + (1 - w) * p1), first_of(n))
+                out = {"doc_id": head["doc_id"], "held_out": head["held_out"], "n_tokens": n, "n_known": np.frombuffer(row.known, "<i8")}
+                out |= {"train_tokens": train_tokens, "base_score": np.frombuffer(row.base, "<f8"), "score": score}
+                out = pd.DataFrame(out).astype({"doc_id": "Int64"})
+                out["held_out"] = out["held_out"].map(lambda x: None if pd.isna(x) else bool(x)).astype(object)
+                yield out
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return batches_of.mapInPandas(run, schema)

@@ -319,6 +319,15 @@ def test_language_model(spark):
     assert bloom_lm.score_texts(df.limit(0)).count() == 0
 
 
+def test_bigrams_of_one_occurrence_count(spark):
+    ids = lambda rest: (i for i in itertools.count() if (zlib.crc32(str(i).encode()) % 7 == 2) == rest)
+    train = [f"x{i} y{i}" for i in range(20) for _ in range(8)] + ["c v", "d u"] + [f"{w} {w}{i}" for w in "cd" for i in range(7)]
+    rows = [*zip(ids(False), train), *zip(ids(True), ["c v", "c u"])]
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # v and u are alike but for the one text that has c before v
+    assert got[rows[-2][0]] > got[rows[-1][0]] + 0.5
+
+
 def test_filter_reads_levels_back():
     h = (np.random.default_rng(8).integers(0, 1 << 56, 5000, dtype=np.uint64))
     q = bloom_lm.level(np.random.default_rng(9).integers(1, 300, 5000))
