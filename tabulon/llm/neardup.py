@@ -4,8 +4,8 @@ Two collections, A and B, of short MinHash bands are computed for each distinct
 set of word shingles. A table key joins one band of A with one of B, so m + m
 bands serve m * m tables: minhashes cost a square root of what separate tables
 would need. Documents that share a key are candidates, and links hold only if
-the full sets confirm them. A pair at the threshold shares no key with a
-probability below 1e-4.
+the full sets confirm them. The number of bands follows from the threshold, so
+that a pair at the threshold shares no key with a probability below 1e-4.
 
 What isn't shared can't be joined: a band that only one document has is dropped
 before the pairs of bands are formed, which leaves few rows. Within a table's
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Bounded, as_text, pick, spool
 
-#: Bands of each collection, and minhashes of a band.
-BANDS, ROWS = 10, 3
+#: Minhashes of a band, and with which probability a pair at the threshold may be missed.
+ROWS, MISSED = 3, 1e-4
 #: Words whose hashes a worker keeps; shingles hashed at once.
 WORDS, AT_ONCE = 400_000, 4096
 #: Up to so many candidate documents, their ids are broadcast (8 bytes each).
@@ -36,6 +36,12 @@ FEW = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bands_for(percent: int) -> int:
+    """Bands of each collection: a pair has to agree in one of A and in one of B."""
+    differ = 1 - (percent / 100) ** ROWS
+    return next(m for m in itertools.count(1) if 1 - (1 - differ**m) ** 2 < MISSED)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every bit of the input moves every bit of the output."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -230,7 +236,7 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 512) -> Da
     return at.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Two documents are linked if 100 * intersection >= percent * union of their
@@ -240,6 +246,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     doc_id is reached by links but names no component: such a row is kept only
     if no row with an id is in its component.
     """
+    bands = bands or bands_for(percent)
     docs = pick(docs, "doc_id", "text")
     all_ = spool(sketches(docs, k, bands), "sketches")
     # One set for all rows that have it; a component's rows without ids are led by the set itself.
@@ -277,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, bands: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that ``near_duplicates`` keeps.
 
     The ids that go are found first; only those are joined, broadcast while they

@@ -125,6 +125,19 @@ def test_near_duplicates_against_brute_force(spark, k, percent):
     assert neardup.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+@pytest.mark.parametrize(("percent", "bands"), [(80, 14), (85, 11)])
+def test_pairs_at_the_threshold_share_a_key(percent, bands):
+    rng = np.random.default_rng(12)
+    assert neardup.bands_for(percent) == bands and neardup.bands_for(100) == 1
+    missed, n, seeds = 0, 10_000, rng.integers(1, 1 << 63, 2 * bands * neardup.ROWS, dtype=np.uint64) | np.uint64(1)
+    for _ in range(n):
+        x = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        cut = 100 - percent
+        same = neardup.minhash_bands(x[cut:], seeds) == neardup.minhash_bands(np.r_[x[:cut], x[2 * cut :]], seeds)
+        missed += not (same[:bands].any() and same[bands:].any())
+    assert missed <= 5  # at 0.80, ten bands would miss 15 by calculation
+
+
 def test_base_spans_follow_the_patterns():
     rng = random.Random(4)
     bits = ["a.b@c.de", "x@y", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "+12", "++4", " ", "..", "-", "é", "12@a.b.c", "0", "(", ")", "a@b..c", "256.1.1.1", "+"]
