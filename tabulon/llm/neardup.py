@@ -84,7 +84,7 @@ def minhash_bands(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, bands: int, seed: int = 8) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, bands) of every whole text.
+    """(row, doc_id, n_shingles, s1, s2, bands) of every whole text.
 
     s1 and s2 are 128 bits that stand for the set.
     """
@@ -101,9 +101,9 @@ def sketches(docs: DataFrame, k: int, bands: int, seed: int = 8) -> DataFrame:
                 s1.append((whole >> 64) - (1 << 63))
                 s2.append((whole & ((1 << 64) - 1)) - (1 << 63))
                 own.append(minhash_bands(h, seeds).view(np.int64) if len(h) else np.empty(0, np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": n, "s1": s1, "s2": s2, "bands": own})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": n, "s1": s1, "s2": s2, "bands": own})
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return docs.mapInPandas(run, "row long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def bucket_rows(reps: DataFrame, bands: int) -> DataFrame:
@@ -236,30 +236,32 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 512) -> Da
     return at.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as written once, and a key ``_row`` of each row."""
+    return spool(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
-    Two documents are linked if 100 * intersection >= percent * union of their
-    distinct k-word shingles; component_id is the least doc_id reachable by
-    links, and the row that has it is kept. Documents without words are linked
-    with nothing. Rows of equal sets are linked without a comparison. A null
-    doc_id is reached by links but names no component: such a row is kept only
-    if no row with an id is in its component.
+
+def find_groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> DataFrame:
+    """(row, doc_id, n_shingles, lead) of every row of ``docs`` (row, doc_id, text).
+
+    lead is the struct (no_id, doc_id, row) of the component's first row: that of
+    the least doc_id, and of the least row where none has an id. It is null for
+    documents without words. Sets are known by rows, whatever their ids.
     """
     bands = bands or bands_for(percent)
-    docs = pick(docs, "doc_id", "text")
     all_ = spool(sketches(docs, k, bands), "sketches")
-    # One set for all rows that have it; a component's rows without ids are led by the set itself.
+    # One set for all rows that have it.
     sets = all_.filter("n_shingles > 0").groupBy("s1", "s2")
-    reps = spool(sets.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).filter("id is not null"), "sets")
+    lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    reps = spool(sets.agg(F.min("row").alias("id"), F.min(lead).alias("lead"), F.first("bands").alias("bands")), "sets")
     rows = spool(bucket_rows(reps.select("id", "bands"), bands), "buckets")
     first = spool(rows.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-    named = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    named = docs.select(F.col("row").alias("id"), "text")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         ids = F.broadcast(ids) if ids.count() <= FEW else ids
-        return named.join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return named.join(ids, "id", "left_semi")
 
     checked = spool(verify(first, texts_of(first), k, percent), "verified")
     links = checked.filter("linked")
@@ -268,38 +270,53 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int |
     n_open = open_.count()
     if n_open:
         few = F.broadcast(open_) if n_open <= FEW else open_
-        texts = named.join(few, "id").dropDuplicates(["id"])
+        texts = named.join(few, "id")
         rest = prefix_pairs(texts, k, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         rest = spool(rest, "residual")
         more = spool(verify(rest, texts_of(rest), k, percent).filter("linked"), "verified-rest")
         if not more.isEmpty():
             star = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
             roots = components(star.unionByName(more.select("a", "b")), "all-roots")
-    found = reps.join(roots, "id", "left").select(
-        F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.coalesce("root", "id").alias("root")
-    )
+    rooted = reps.join(roots, "id", "left").select("s1", "s2", "lead", F.coalesce("root", "id").alias("root"))
+    leads = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
+    found = rooted.drop("lead").join(leads, "root").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "lead")
     same = (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")) & (F.col("n_shingles") > 0)
-    out = all_.drop("bands").join(found, same, "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return all_.drop("bands").join(found, same, "left").select("row", "doc_id", "n_shingles", "lead")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+
+    Two documents are linked if 100 * intersection >= percent * union of their
+    distinct k-word shingles; component_id is the least doc_id reachable by
+    links, and the row that has it is kept. Documents without words are linked
+    with nothing. Rows of equal sets are linked without a comparison. A null
+    doc_id is reached by links but names no component: of such rows one is kept
+    if no row with an id is in its component.
+    """
+    rows = numbered(pick(docs, "doc_id", "text")).withColumnRenamed("_row", "row")
+    found = find_groups(rows, k, percent, bands)
+    component = F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("lead.doc_id"))
+    own = F.when(F.col("lead.no_id"), F.col("row") == F.col("lead.row"))
+    kept = F.coalesce(own, F.col("doc_id").eqNullSafe(component))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, bands: int | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps.
+    """One row, all columns, of each component that ``near_duplicates`` finds.
 
-    The ids that go are found first; only those are joined, broadcast while they
-    are few. Of repeated rows of one doc_id one stays.
+    Rows go by their own keys, never by a doc_id that they share with others.
+    The keys that go are found first; only those are joined, broadcast while they
+    are few. Of rows without words one stays for each doc_id, and all without it.
     """
-    found = spool(near_duplicates(docs, k, percent, bands), "found")
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    twice = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     names = docs.columns
-    own = docs.toDF(*(f"_c{i}" for i in range(len(names))))
-    doc_id = F.col(f"_c{names.index('doc_id')}")
+    own = numbered(docs.toDF(*(f"_c{i}" for i in range(len(names)))))
+    at = lambda name: F.col(f"_c{names.index(name)}")
+    rows = own.select(F.col("_row").alias("row"), at("doc_id").cast("long").alias("doc_id"), at("text").alias("text"))
+    found = spool(find_groups(rows, k, percent, bands), "found")
+    gone = found.filter("lead.row <> row").select("row")
+    wordless = found.filter("lead is null and doc_id is not null")
+    again = wordless.join(wordless.groupBy("doc_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1"), "doc_id")
+    gone = spool(gone.unionAll(again.filter("row <> first").select("row")).select(F.col("row").alias("_row")), "gone")
     gone = F.broadcast(gone) if gone.count() <= FEW else gone
-    out = own.join(gone, doc_id == F.col("gone"), "left_anti")
-    if not twice.isEmpty():
-        again = twice.select(F.col("doc_id").alias("again"))
-        first = out.join(again, doc_id == F.col("again"), "left_semi").dropDuplicates([f"_c{names.index('doc_id')}"])
-        out = out.join(again, doc_id == F.col("again"), "left_anti").unionByName(first)
-    return out.toDF(*names)
+    return own.join(gone, "_row", "left_anti").drop("_row").toDF(*names)

@@ -125,6 +125,20 @@ def test_near_duplicates_against_brute_force(spark, k, percent):
     assert neardup.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+def test_keep_one_goes_by_rows(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (sentence(rng, 50) for _ in range(5))
+    near = lambda t: t + " changed"
+    rows = [(1, a), (None, a), (None, near(a)), (None, b), (None, near(b)), (None, b), (7, c), (7, near(a)), (8, d), (8, d), (9, ""), (9, None), (None, ""), (None, " "), (10, e), (None, None)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long")
+    kept = {r["n"]: (r["doc_id"], r["text"]) for r in neardup.keep_one(df).collect()}
+    assert {0, 6, 12, 13, 14, 15} <= set(kept) and len(kept) == 9
+    assert len({3, 4, 5} & set(kept)) == 1 and len({8, 9} & set(kept)) == 1 and len({10, 11} & set(kept)) == 1
+    found = neardup.near_duplicates(df).collect()
+    assert len(found) == len(rows) and sum(r["kept"] for r in found if r["n_shingles"] and r["doc_id"] is None) == 1
+    assert {r["component_id"] for r in found if r["doc_id"] == 7} == {1, 7}
+
+
 @pytest.mark.parametrize(("percent", "bands"), [(80, 14), (85, 11)])
 def test_pairs_at_the_threshold_share_a_key(percent, bands):
     rng = np.random.default_rng(12)
