@@ -3,9 +3,11 @@
 Each tree gives every vector one long string of bits (signs of random
 projections) and keeps the strings as a sorted array. A query descends each tree
 to its longest common prefix, and all trees then ascend together, one bit at a
-time, until the rows under the prefixes reach a share of the shard. Those
+time, until the distinct vectors under the prefixes reach a share of the shard's. Those
 candidates are scored exactly. Largest inner products become largest cosines by
-one more component, sqrt(M^2 - |x|^2), with M the greatest norm of all rows.
+one more component, sqrt(M^2 - |x|^2), with M the greatest norm of a band: where
+norms are uneven that component would hide the rest, so the rows of a shard are
+cut into bands of like norms, each with trees and a share of candidates of its own.
 
 The rows are dealt into shards of bounded size, each with its own forest, and
 every block of queries meets every shard. With ``share`` of a shard examined the
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .vectors import best, clean, matrix, scatter_gather
 
 BITS = 40
+#: Greatest to least norm of a band; bands at most, of which the last takes all lesser norms.
+LIKE, BANDS = 1.5, 10
 
 
 class Forest:
@@ -55,31 +59,55 @@ class Forest:
             hi = np.array([np.searchsorted(own[t], low[t] + (1 << cut), "left") for t in range(trees)])
             return lo, hi
 
+        def gathered(lo: np.ndarray, hi: np.ndarray, mark: np.ndarray) -> bool:
+            """Mark the rows of tree after tree until enough are marked."""
+            for t in range(trees):
+                mark[self.order[t, lo[t] : hi[t]]] = True
+                if mark.sum() >= wanted:
+                    return True
+            return False
+
         # Descend: no prefix that is longer than the longest match of any tree has rows.
         open_ = np.arange(len(q))
         depth = min(BITS, int(np.ceil(np.log2(self.n + 1))) + 6)
-        below = under(depth, open_)
+        below = None
         while len(open_):
-            total = (below[1] - below[0]).sum(axis=0)
-            done = total >= wanted
-            if depth == 0:
-                done[:] = True
-            for j in np.flatnonzero(done):
+            # Ascend together; once enough are gathered, the other trees stay one bit longer.
+            up = under(depth, open_)
+            done = (up[1] - up[0]).sum(axis=0) >= wanted
+            for j in np.flatnonzero(done | (depth == 0)):
                 mark = np.zeros(self.n, bool)
-                for t in range(trees):
-                    mark[self.order[t, below[0][t, j] : below[1][t, j]]] = True
-                yield open_[j], np.flatnonzero(mark)
+                if below is not None:
+                    for t in range(trees):
+                        mark[self.order[t, below[0][t, j] : below[1][t, j]]] = True
+                done[j] = gathered(up[0][:, j], up[1][:, j], mark) or depth == 0
+                if done[j]:
+                    yield open_[j], np.flatnonzero(mark)
             open_ = open_[~done]
-            if not len(open_):
-                break
-            below = below[0][:, ~done], below[1][:, ~done]
+            below = up[0][:, ~done], up[1][:, ~done]
             depth -= 1
-            up = under(depth, open_)
-            # Ascend together; the trees that would overshoot stay one bit longer.
-            more = np.cumsum((up[1] - up[0]) - (below[1] - below[0]), axis=0)
-            before = (below[1] - below[0]).sum(axis=0)
-            stay = (before + more - ((up[1] - up[0]) - (below[1] - below[0]))) >= wanted
-            below = np.where(stay, below[0], up[0]), np.where(stay, below[1], up[1])
+
+
+class Forests:
+    """A forest for each band of like norms."""
+
+    def __init__(self, x: np.ndarray, trees: int, seed: int):
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        band = np.minimum(np.log(norm.max() / norm) / np.log(LIKE), BANDS - 1).astype(int)
+        self.rows = [np.flatnonzero(band == b) for b in np.unique(band)]
+        self.forests = [Forest(x[at], trees, seed, float(norm[at].max())) for at in self.rows]
+
+    def candidates(self, q: np.ndarray, share: float, least: int):
+        """Yield (number of the query, rows): of each band ``share`` and ``least`` at least."""
+        if share >= 1:
+            yield from ((j, np.sort(np.concatenate(self.rows))) for j in range(len(q)))
+            return
+        found = [[] for _ in q]
+        for at, forest in zip(self.rows, self.forests, strict=True):
+            for j, own in forest.candidates(q, min(len(at), max(least, int(np.ceil(share * len(at)))))):
+                found[j].append(np.packbits(np.isin(np.arange(len(at)), own, assume_unique=True)))
+        for j, bits in enumerate(found):
+            yield j, np.concatenate([at[np.unpackbits(b, count=len(at)).view(bool)] for at, b in zip(self.rows, bits, strict=True)])
 
 
 def search_forest(
@@ -98,8 +126,10 @@ def search_forest(
     Nearness is the inner product in double precision, ties go to the smaller
     id, and a query is never its own neighbour. ``is_query`` is a condition on
     the column ``id``. Candidates are gathered until the trees have brought
-    ``share`` of a shard's rows, repeats counted, and ``least`` at least: a small
-    shard is searched whole. An empty table gives an empty result.
+    ``share`` of a shard's distinct vectors, each counted once, and 4 * ``least``
+    at least: a small shard is searched whole. Each band of like norms gives its
+    share of them, and ``least`` at least. Equal vectors of a shard are one
+    candidate that brings all their ids. An empty table gives an empty result.
     """
     rows = clean(vectors, id_column, vector_column, drop_zero=True)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -113,20 +143,27 @@ def search_forest(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, x, q = a["id"].to_numpy(np.int64), matrix(a["v"], dims), matrix(b["v"], dims)
         query_ids = b["id"].to_numpy(np.int64)
+        x, which = np.unique(x, axis=0, return_inverse=True)
+        # Of equal vectors the k smallest ids count, and one more where the query is among them.
+        order = np.argsort(which.ravel(), kind="stable")
+        edges = np.searchsorted(which.ravel()[order], np.arange(len(x) + 1))
+        own_ids = [ids[order[a:b]][: k + 1] for a, b in zip(edges, edges[1:], strict=False)]
         near = x.astype(np.float32)
         out = []
         wanted = max(4 * least, int(share * len(x)))
-        for j, at in Forest(x, trees, seed, float(most) ** 0.5).candidates(q, wanted):
-            at = at[ids[at] != query_ids[j]]
+        for j, at in Forests(x, trees, seed).candidates(q, wanted / len(x), least):
             if len(at) > 4 * k:
                 rough = near[at] @ q[j].astype(np.float32)
-                edge = np.partition(rough, -k)[-k]
+                edge = np.partition(rough, -k - 1)[-k - 1]
                 # rounding of single precision can't hide a row of the k best
                 slack = 1e-5 * float(np.linalg.norm(q[j])) * float(most) ** 0.5
                 at = at[rough >= edge - slack]
-            score = np.array([np.dot(x[i], q[j]) for i in at])
-            top = np.lexsort((ids[at], -score))[:k]
-            out.append((np.full(len(top), query_ids[j]), ids[at][top], score[top]))
+            score = np.repeat([np.dot(x[i], q[j]) for i in at], [len(own_ids[i]) for i in at])
+            found = np.concatenate([own_ids[i] for i in at])
+            other = found != query_ids[j]
+            score, found = score[other], found[other]
+            top = np.lexsort((found, -score))[:k]
+            out.append((np.full(len(top), query_ids[j]), found[top], score[top]))
         cat = [np.concatenate(c) if out else np.array([]) for c in (zip(*out, strict=True) if out else ([], [], []))]
         return pd.DataFrame({"query_id": cat[0], "vec_id": cat[1], "score": cat[2]})
 

@@ -60,6 +60,24 @@ def test_forest_against_brute_force(spark):
     assert ann_forest.search_forest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 1300])
+def test_forest_recall_with_copies_and_uneven_norms(spark, copies):
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((4000, 32)) * rng.exponential(1, (4000, 1))).astype(np.float32).astype(float)
+    x[4000 - copies :] = x[-1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann_forest.search_forest(df, F.col("id") % 100 == 0, k=10, least=64, share=0.5).collect()
+    hits = 0
+    for i in range(0, 4000, 100):
+        s = x @ x[i]
+        s[i] = -np.inf
+        edge = np.sort(s)[-10]
+        found = [r["vec_id"] for r in got if r["query_id"] == i]
+        assert len(set(found)) == 10 and i not in found
+        hits += sum(s[v] >= edge - 1e-9 for v in found)
+    assert hits >= 0.9 * 10 * 40
+
+
 def test_exact_topk_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((500, 12)) * rng.exponential(1, (500, 1))
