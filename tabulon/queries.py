@@ -219,6 +219,12 @@ def similarity_tfidf(spark, sf):
     return df.select("left_cluster", "right_cluster", F.round("similarity", 4).alias("similarity"), "band", "recommendation")
 
 
+@query()
+def similarity_tfidf_text(spark, sf):
+    """The texts themselves; SQL has other word characters, so brute force is the test."""
+    return source_similarity(spark, sf, "tfidf", "text")
+
+
 @query("SELECT c_custkey, substr(sha256(c_name), 1, 16) AS c_name, substr(sha256(c_mktsegment), 1, 16) AS c_mktsegment FROM customer")
 def redact_hash(spark, sf):
     return redaction.redact(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_name", "c_mktsegment"], "hash")

@@ -246,3 +246,25 @@ def test_report_settings():
     assert report.mapping_specs(["a:b", {"left": "c", "right": "d"}]) == [("a", "b"), ("c", "d")]
     with pytest.raises(ValueError):
         report.mapping_specs(["ab"])
+
+
+def test_tfidf_reads_the_texts(spark, tmp_path):
+    import collections
+    import itertools
+    import math
+    import re
+
+    from tabulon import queries
+
+    texts = [("a", "Red apples and red wine"), ("a", "wine x"), ("b", "green apples, épée"), ("c", "Épée and wine; WINE"), ("c", None)]
+    rows = [(i, t, "en", s, 1) for i, (s, t) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    tf = collections.defaultdict(collections.Counter)
+    for s, t in texts:
+        tf[s].update(re.findall(r"\w\w+", (t or "").lower()))
+    df = collections.Counter(w for c in tf.values() for w in c)
+    w = {s: {t: n * (math.log(4 / (1 + df[t])) + 1) for t, n in c.items()} for s, c in tf.items()}
+    norm = {s: math.sqrt(sum(x * x for x in c.values())) for s, c in w.items()}
+    want = {(p, q): round(sum(x * w[q].get(t, 0) for t, x in w[p].items()) / norm[p] / norm[q], 4) for p, q in itertools.combinations("abc", 2)}
+    got = queries.QUERIES["similarity_tfidf_text"](spark, str(tmp_path)).collect()
+    assert {(r["left_cluster"], r["right_cluster"]): r["similarity"] for r in got} == want
