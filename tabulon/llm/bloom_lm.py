@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bounded, as_text, pick, spool
-from .neardup import MIX, mixed, word_hashes
+from .words import MIX, hashed_words, mixed, runs
 
 #: Hashes of the token that ends a text and of the context before its first word.
 END, START = np.uint64(0x51F42D4C957F2D), np.uint64(0x057B7EF767814F)

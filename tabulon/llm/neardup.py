@@ -25,15 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, as_text, pick, spool
+from .common import as_text, pick, spool
+from .words import MIX, mixed, runs, shingle_sets
 
 #: Minhashes of a band, and with which probability a pair at the threshold may be missed.
 ROWS, MISSED = 3, 1e-4
-#: Words whose hashes a worker keeps; shingles hashed at once.
-WORDS, AT_ONCE = 400_000, 4096
-#: Up to so many candidate documents, their ids are broadcast (8 bytes each).
+#: Shingles hashed at once; shingles that a task compares with one document, about.
+AT_ONCE, LOAD = 1024, 1 << 19
+#: Up to so many rows of ids, tasks hold them all (some 30 bytes each).
 FEW = 1_000_000
-MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Rows of a key beyond which the key is joined apart from others.
+HOT = 1000
 
 
 def bands_for(percent: int) -> int:
@@ -42,41 +44,11 @@ def bands_for(percent: int) -> int:
     return next(m for m in itertools.count(1) if 1 - (1 - differ**m) ** 2 < MISSED)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer: every bit of the input moves every bit of the output."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_hashes(text: str, words: Bounded, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a text.
-
-    ASCII letters are lowered; words are runs other than ASCII white space. A
-    text of fewer than k words has its whole sequence as its one shingle; a
-    text without words has none.
-    """
-    own = text.encode("utf-8", "replace").lower().split()  # of bytes, both know ASCII only
-    if not own:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, own), np.uint64, len(own))
-    k = min(k, len(h))
-    out = np.full(len(h) - k + 1, np.uint64(k))
-    for i in range(k):
-        out = mixed(out * MIX + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
-
-
-def word_hashes() -> Bounded:
-    return Bounded(xxhash.xxh3_64_intdigest, WORDS)
-
-
 def minhash_bands(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """One 64-bit hash for each band of ROWS minhashes."""
-    least = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
+    least, seeds = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64), seeds[:, None]
     for at in range(0, len(hashes), AT_ONCE):
-        part = hashes[at : at + AT_ONCE, None] * seeds[None]
-        np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0), out=least)
+        np.minimum(least, (seeds * hashes[None, at : at + AT_ONCE]).min(axis=1), out=least)
     out = np.arange(len(seeds) // ROWS, dtype=np.uint64)
     for i in range(ROWS):
         out = mixed(out * MIX + least[i::ROWS])
@@ -91,11 +63,9 @@ def sketches(docs: DataFrame, k: int, bands: int, seed: int = 8) -> DataFrame:
     seeds = np.random.default_rng(seed).integers(1, 1 << 63, 2 * bands * ROWS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_hashes()
         for pdf in batches:
             n, s1, s2, own = [], [], [], []
-            for text in as_text(pdf["text"]):
-                h = shingle_hashes(text, words, k)
+            for h in shingle_sets(as_text(pdf["text"]), k):
                 whole = xxhash.xxh3_128_intdigest(h.tobytes())
                 n.append(len(h))
                 s1.append((whole >> 64) - (1 << 63))
@@ -106,40 +76,72 @@ def sketches(docs: DataFrame, k: int, bands: int, seed: int = 8) -> DataFrame:
     return docs.mapInPandas(run, "row long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
+    """``rows`` joined to ``counted``, which says how many of ``rows`` each key has.
+
+    A key of many rows would put them all into one task, so while such keys are
+    counted to be few they are broadcast and their rows stay where they are.
+    Beyond that the join is left to Spark, which splits skewed partitions. Both
+    tables are read twice and should be written ones.
+    """
+    keys = [key] if isinstance(key, str) else key
+    many = counted.filter(F.col(n) > HOT)
+    size = many.count()
+    if not size or size > FEW:
+        return rows.join(counted, keys)
+    rest = rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(counted.filter(F.col(n) <= HOT), keys)
+    return rest.unionByName(rows.join(F.broadcast(many), keys))
+
+
 def bucket_rows(reps: DataFrame, bands: int) -> DataFrame:
-    """(key, id): a row for each table of each set that may meet another there."""
+    """(key, id, pivot, n): a row for each table of each set that may meet another there."""
     each = reps.select("id", F.posexplode("bands").alias("band", "h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    shared = each.join(counts, "h").groupBy("id").agg(
+    counts = spool(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
+    shared = join_counted(each, counts, "h").groupBy("id").agg(
         F.collect_list(F.when(F.col("band") < bands, F.col("h"))).alias("a"),
         F.collect_list(F.when(F.col("band") >= bands, F.col("h"))).alias("b"),
     )
+    shared = spool(shared, "shared")
     keyed = shared.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y"))
     keyed = keyed.select(F.xxhash64("x", "y").alias("key"), "id")
-    more = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(more, "key")
+    more = spool(keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "tables")
+    return join_counted(keyed, more, "key")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked) of the pairs, by intersection and union of the full sets."""
+def verify(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, linked) of the written ``pairs``, by intersection and union of the full sets.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_hashes()
-        # A text that stands in many pairs is hashed once while it keeps coming.
-        held = Bounded(lambda t: shingle_hashes(t, words, k), 64)
-        for pdf in batches:
-            linked = []
-            for x, y in zip(as_text(pdf["ta"]), as_text(pdf["tb"]), strict=True):
-                p, q = held[x], held[y]
-                if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
-                    linked.append(False)
-                    continue
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                linked.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "linked": linked})
-
-    at = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias("t" + c))
-    return pairs.join(at("a"), "a").join(at("b"), "b").mapInPandas(run, "a long, b long, linked boolean")
+    ``sizes`` has (id, n_shingles). A document b that stands in many pairs gets
+    copies, as many as the documents a beside it need, and copies and their
+    pairs are dealt into bins of bounded size; so no text is sent once a pair,
+    and no task has all pairs of one document.
+    """
+    spark = pairs.sparkSession
+    loads = pairs.join(sizes.select(F.col("id").alias("a"), "n_shingles"), "a").groupBy("b").agg(F.sum("n_shingles").alias("load"))
+    loads = spool(loads.withColumn("copies", F.ceil(F.col("load") / LOAD).cast("long")), "loads")
+    total = loads.agg(F.sum("load")).first()[0] or 0
+    bins = F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // LOAD)))
+    heavy = loads.filter("copies > 1").select("b", "copies")
+    heavy = F.broadcast(heavy) if heavy.count() <= FEW else heavy
+    salted = pairs.join(heavy, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))))
+    bin_ = F.pmod(F.xxhash64("b", "salt"), bins).alias("bin")
+    left = salted.select("a", "b", bin_).join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    copies = loads.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
+    right = copies.select("b", bin_).join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(other["b"], shingle_sets(as_text(other["tb"]), k), strict=True))
+        linked = []
+        for p, b in zip(shingle_sets(as_text(own["ta"]), k), own["b"], strict=True):
+            q = held[b]
+            if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
+                linked.append(False)
+                continue
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            linked.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+        return pd.DataFrame({"a": own["a"], "b": own["b"], "linked": linked})
+
+    return left.groupBy("bin").cogroup(right.withColumnRenamed("bin", "bin_b").groupBy("bin_b")).applyInPandas(run, "a long, b long, linked boolean")
 
 
 def components(nodes_of: DataFrame, name: str) -> DataFrame:
@@ -153,8 +155,12 @@ def components(nodes_of: DataFrame, name: str) -> DataFrame:
     edges, last = spool(edges, f"{name}-0"), None
     for turn in itertools.count(1):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Only what a vertex is joined to that has larger neighbours; hubs have many.
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+        least = spool(least.filter("n > 0"), f"{name}-least-{turn}")
+        large = join_counted(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), least, "u")
+        large = spool(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large-{turn}")
+        # Here a vertex is the larger end: it has as many rows as it has smaller neighbours.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(lower, "u")
         small = pairs.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
@@ -171,9 +177,10 @@ def unresolved(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
     In a bucket of two the one pair has been compared already.
     """
-    rooted = rows.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    rooted = spool(rows.filter("n > 2").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    return rooted.join(open_.filter("lo < hi and n > 2").select("key"), "key").select("id", "root").distinct()
+    open_ = spool(open_.filter("lo < hi").select("key", "n"), "open")
+    return join_counted(rooted, open_, "key").select("id", "root").distinct()
 
 
 def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
@@ -188,19 +195,18 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 512) -> Da
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_hashes()
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                own = [shingle_hashes(t, words, k) for t in as_text(part["text"])]
+            texts = as_text(pdf["text"])
+            for at in runs(texts):
+                part, own = pdf.iloc[at], list(shingle_sets(texts[at], k))
                 n = np.array([len(h) for h in own])
                 if n.sum():
                     col = lambda c: np.repeat(part[c].to_numpy(), n)  # noqa: B023, E731
                     yield pd.DataFrame({"id": col("id"), "root": col("root"), "n": np.repeat(n, n), "h": np.concatenate(own).view(np.int64)})
 
     each = spool(texts.mapInPandas(cut, "id long, root long, n long, h long"), "shingles")
-    met = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("df > 1")
-    shared = each.join(met, "h").groupBy("id").agg(
+    met = each.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = join_counted(each, spool(met.filter("df > 1"), "shared"), "h", "df").groupBy("id").agg(
         F.first("root").alias("root"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h", (F.col("lo") < F.col("hi")).alias("x")))).alias("s")
     )
     # Shingles of one document alone come first and take up the prefix.
@@ -209,13 +215,15 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 512) -> Da
     own_only = (F.col("n").cast("int") - F.size("s")).alias("u")
     keyed = shared.filter(left > 0).select("id", "root", "n", own_only, F.posexplode(F.slice("s", F.lit(1), left)).alias("p", "t"))
     rest = F.col("n") - F.col("u") - F.col("p")  # shingles from this one on, in the common order
-    keyed = keyed.filter("t.x").select(F.col("t.h").alias("key"), "id", "root", "n", rest.alias("rest"))
+    keyed = spool(keyed.filter("t.x").select(F.col("t.h").alias("key"), "id", "root", "n", rest.alias("rest")), "prefixes")
     # Even with the least set that has the shingle, a document needs so much of its own.
-    sizes = keyed.groupBy("key").agg(F.min("n").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    met = lambda rows: rows.groupBy("key").agg(
+        F.count("*").alias("df"), F.min("n").alias("least"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    ).filter("lo < hi")
     enough = (100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("least"))
-    keyed = keyed.join(sizes.select("key", "least"), "key").filter(enough).drop("least")
-    met = keyed.groupBy("key").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    keyed = keyed.join(met.select("key", "df"), "key")
+    least = spool(met(keyed).select("key", "df", "least"), "least")
+    keyed = spool(join_counted(keyed, least, "key", "df").filter(enough).drop("df", "least"), "enough")
+    keyed = join_counted(keyed, spool(met(keyed).select("key", "df"), "blocks"), "key", "df")
     blocks = F.ceil(F.col("df") / block).cast("int")
     at = keyed.withColumn("own", F.pmod(F.xxhash64("id", "key"), blocks).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -253,7 +261,7 @@ def find_groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> Dat
     # One set for all rows that have it.
     sets = all_.filter("n_shingles > 0").groupBy("s1", "s2")
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    reps = spool(sets.agg(F.min("row").alias("id"), F.min(lead).alias("lead"), F.first("bands").alias("bands")), "sets")
+    reps = spool(sets.agg(F.min("row").alias("id"), F.min(lead).alias("lead"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "sets")
     rows = spool(bucket_rows(reps.select("id", "bands"), bands), "buckets")
     first = spool(rows.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     named = docs.select(F.col("row").alias("id"), "text")
@@ -263,7 +271,8 @@ def find_groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> Dat
         ids = F.broadcast(ids) if ids.count() <= FEW else ids
         return named.join(ids, "id", "left_semi")
 
-    checked = spool(verify(first, texts_of(first), k, percent), "verified")
+    sizes = reps.select("id", "n_shingles")
+    checked = spool(verify(first, texts_of(first), sizes, k, percent), "verified")
     links = checked.filter("linked")
     roots = components(links, "roots")
     open_ = spool(unresolved(rows, roots), "unresolved")
@@ -273,15 +282,17 @@ def find_groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> Dat
         texts = named.join(few, "id")
         rest = prefix_pairs(texts, k, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         rest = spool(rest, "residual")
-        more = spool(verify(rest, texts_of(rest), k, percent).filter("linked"), "verified-rest")
+        more = spool(verify(rest, texts_of(rest), sizes, k, percent).filter("linked"), "verified-rest")
         if not more.isEmpty():
             star = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
             roots = components(star.unionByName(more.select("a", "b")), "all-roots")
-    rooted = reps.join(roots, "id", "left").select("s1", "s2", "lead", F.coalesce("root", "id").alias("root"))
-    leads = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
-    found = rooted.drop("lead").join(leads, "root").select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "lead")
-    same = (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")) & (F.col("n_shingles") > 0)
-    return all_.drop("bands").join(found, same, "left").select("row", "doc_id", "n_shingles", "lead")
+    rooted = spool(reps.join(roots, "id", "left").select("s1", "s2", "rows", "lead", F.coalesce("root", "id").alias("root")), "rooted-sets")
+    leads = spool(rooted.groupBy("root").agg(F.min("lead").alias("lead"), F.count("*").alias("n")), "leads")
+    found = spool(join_counted(rooted.drop("lead"), leads, "root").select("s1", "s2", "rows", "lead"), "led")
+    own = all_.select("row", "doc_id", "n_shingles", "s1", "s2")
+    led = join_counted(own.filter("n_shingles > 0"), found, ["s1", "s2"], "rows").select("row", "doc_id", "n_shingles", "lead")
+    none = own.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", F.lit(None).cast(found.schema["lead"].dataType).alias("lead"))
+    return led.unionByName(none)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int | None = None) -> DataFrame:
