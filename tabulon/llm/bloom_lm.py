@@ -16,47 +16,49 @@ greatest below the line, so that predictions of a context sum to one at most. Th
 weight l depends on the level of c(h) and is fitted to all training texts, each
 token scored as if it had not been counted.
 
-Words and bigrams of a batch of documents are sent to the hash ranges they
-belong to, packed. Each range returns a level for each of them, and what it adds
-to each document's sum in the add-one baseline, which has exact counts.
+The distinct words and bigrams of a batch of documents are sent once each, with
+their counts, to the hash ranges they belong to. Each range returns a level for
+each of them, and exact counts of words for the add-one baseline.
 """
 
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, as_text, pick, spool
+from .common import as_text, pick, spool
 from .words import MIX, hashed_words, mixed, runs
 
 #: Hashes of the token that ends a text and of the context before its first word.
 END, START = np.uint64(0x51F42D4C957F2D), np.uint64(0x057B7EF767814F)
 #: Hashes have 56 bits: seven bytes where they are packed.
 MASK = np.uint64((1 << 56) - 1)
-#: Documents packed together; bytes of text of a hash range, about.
-TOGETHER, RANGE_BYTES = 512, 32 << 20
+#: Characters of text packed together, and bytes of text of a hash range, about.
+TOGETHER, RANGE_BYTES = 8 << 20, 32 << 20
 #: Probes of an entry, bits for it, and bits of one segment of a filter.
 PROBES, ENTRY_BITS, SEGMENT_BITS = 5, 12, 1 << 19
 LEVELS = 48
 GRID = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
 
 
-def tokens_of(text: str, words: Bounded) -> np.ndarray:
-    """Hashes of a text's tokens; the last is END."""
-    own = text.encode("utf-8", "replace").lower().split()  # of bytes, both know ASCII only
-    out = np.empty(len(own) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(words.__getitem__, own), np.uint64, len(own))
-    out &= MASK
-    out[-1] = END
-    return out
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts in order, each text's last being END, and their numbers."""
+    each = [hashed_words(texts[part]) for part in runs(texts)]
+    own, sizes = (np.concatenate(x) for x in zip(*each, strict=True))
+    out = np.empty(len(own) + len(sizes), np.uint64)
+    out[np.arange(len(own)) + np.repeat(np.arange(len(sizes)), sizes)] = own & MASK
+    sizes = sizes + 1
+    out[np.cumsum(sizes) - 1] = END
+    return out, sizes
 
 
 def bigrams(h: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -68,16 +70,29 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(24)) * np.uint64(n)) >> np.uint64(32)
 
 
-def seven(h: np.ndarray) -> bytes:
-    return np.ascontiguousarray(h, "<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each integer, all first bytes before all second ones.
+
+    High bytes are zero almost everywhere, and so what is sent is compressed well.
+    """
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def eight(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
     return out.view("<u8").reshape(-1)
 
 
+def sorted_planes(h: np.ndarray) -> bytes:
+    """Ascending hashes, as differences."""
+    return planes(np.diff(h, prepend=np.uint64(0)), 7)
+
+
+def from_sorted_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data, 7), dtype=np.uint64)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, and so on."""
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
@@ -163,134 +178,122 @@ def parts(before: np.ndarray, own: np.ndarray, pair: np.ndarray, z: float, left_
     return p2, (np.maximum(middle_of(own) - one, 0) + 1) / z
 
 
-def grouped(pdf: pd.DataFrame, words: Bounded, most: int = TOGETHER):
-    """Documents of a batch, ``most`` at a time: (rows, tokens, contexts, lengths)."""
-    texts = as_text(pdf["text"])
-    for at in range(0, len(texts), most):
-        held = [tokens_of(t, words) for t in texts[at : at + most]]
-        sizes = np.array([len(x) for x in held])
-        h = np.concatenate(held)
-        before = np.empty_like(h)
-        before[1:] = h[:-1]
-        before[np.cumsum(sizes) - sizes] = START
-        yield slice(at, at + len(held)), h, before, sizes
-
-
 def first_of(sizes: np.ndarray) -> np.ndarray:
     """Places of the first tokens of documents."""
     return np.cumsum(sizes) - sizes
 
 
+def contexts(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each; START before a document's first."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[first_of(sizes)] = START
+    return before
+
+
+NGRAMS = "kind int, batch long, bucket int, n long, a binary, b binary"
+NAMES = ["kind", "batch", "bucket", "n", "a", "b"]
+
+
 def gather(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed words and bigrams by hash range, and what the ranges make of them.
+    """n-grams by hash range, and what the ranges make of them.
 
-    Rows (kind, batch, bucket, n, a, b, c): 0 a batch's documents, their distinct
-    words and the place of each token's among these; 1 what a range adds to a
-    batch's documents, and the levels of the batch's words; 2 the levels of its
-    bigrams; 3 how many words a range has, by level.
+    Rows (kind, batch, bucket, n, a, b): 0 a batch's documents and their tokens;
+    1 and 2 the counts and levels of a batch's distinct words and bigrams in a
+    range, in the order of their hashes; 3 how many words a range has, by level,
+    under a batch of its own. A batch sends each distinct n-gram once with its
+    count, so the commonest word brings a range one entry for each batch.
     """
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, number = word_hashes(), TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 32
         for pdf in batches:
-            train = (pdf["held_out"] == 0).to_numpy()
-            for rows, h, before, sizes in grouped(pdf, words):
+            train, texts = (pdf["held_out"] == 0).to_numpy(), as_text(pdf["text"])
+            for rows in runs(texts, TOGETHER):
                 number += 1
-                doc = np.repeat(np.arange(len(sizes)), sizes)
-                own = train[rows]
+                h, sizes = tokens_of(texts[rows])
+                own = np.repeat(train[rows], sizes)
                 header = {
                     "doc_id": [None if pd.isna(x) else int(x) for x in pdf["doc_id"][rows]],
                     "held_out": [None if pd.isna(x) else int(x) for x in pdf["held_out"][rows]],
                     "n": sizes.tolist(),
                 }
-                distinct, at = np.unique(h, return_inverse=True)
-                out = [(0, number, number % buckets, int(sizes[own].sum()), json.dumps(header).encode(), seven(distinct), at.astype("<u4").tobytes())]
-                # by hash and then document: equal neighbours are one entry
-                order = np.lexsort((doc, h))
-                x, d = h[order], doc[order]
-                new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (d[1:] != d[:-1])])
-                tf = np.diff(np.r_[new, len(x)])
-                x, d = x[new], d[new]
-                edge = np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1))
-                by_doc = np.where(own[d], d, d | 0x8000).astype("<u2")
-                for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
-                    if a < b:
-                        out.append((1, number, i, b - a, seven(x[a:b]), by_doc[a:b].tobytes(), tf[a:b].astype("<u4").tobytes()))
-                pairs, at = np.unique(bigrams(h, before), return_inverse=True)
-                n = np.bincount(at, weights=own[doc], minlength=len(pairs)).astype(np.int64)
-                edge = np.searchsorted(bucket_of(pairs, buckets), np.arange(buckets + 1))
-                for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
-                    if a < b:
-                        out.append((2, number, i, b - a, seven(pairs[a:b]), n[a:b].astype("<u4").tobytes(), b""))
-                yield pd.DataFrame(out, columns=["kind", "batch", "bucket", "n", "a", "b", "c"])
-
-    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
+                head = json.dumps(header).encode()
+                distinct, at, met = np.unique(h, return_inverse=True, return_counts=True)
+                # Commonest words first: most tokens then have small numbers.
+                order = np.argsort(-met, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                body = struct.pack("<II", len(head), len(order)) + head + planes(distinct[order], 7) + planes(place[at], 4)
+                out = [(0, number, number % buckets, int(own.sum()), body, b"")]
+                for kind, x, where in ((1, distinct, at), (2, *np.unique(bigrams(h, contexts(h, sizes)), return_inverse=True))):
+                    n = np.bincount(where, weights=own, minlength=len(x)).astype(np.uint64)
+                    edge = np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1))
+                    for i, (a, b) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)):
+                        if a < b:
+                            out.append((kind, number, i, b - a, sorted_planes(x[a:b]), planes(n[a:b], 4)))
+                yield pd.DataFrame(out, columns=NAMES)
+
+    def meet(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         kind, bucket = int(key[0]), int(key[1])
         if kind == 0:
             return pdf
-        x = eight(b"".join(pdf["a"]))
-        if kind == 2:
-            n = np.frombuffer(b"".join(pdf["b"]), "<u4")
-            pairs, at = np.unique(x, return_inverse=True)
-            n = np.bincount(at, weights=n, minlength=len(pairs)).astype(np.int64)
-            q = read_back(pairs, n, bucket, buckets)[at]
-            end = np.cumsum(pdf["n"].to_numpy())
-            out = [(2, i, bucket, m, q[e - m : e].tobytes(), b"", b"") for i, m, e in zip(pdf["batch"], pdf["n"], end, strict=True)]
-            return pd.DataFrame(out, columns=["kind", "batch", "bucket", "n", "a", "b", "c"])
-        doc, tf = np.frombuffer(b"".join(pdf["b"]), "<u2"), np.frombuffer(b"".join(pdf["c"]), "<u4")
-        words, at = np.unique(x, return_inverse=True)
-        count = np.bincount(at, weights=np.where(doc & 0x8000, 0, tf), minlength=len(words)).astype(np.int64)
-        adds = (np.log10(count + 1.0)[at] * tf)
-        known = np.where(count[at] > 0, tf, 0)
-        doc = (doc & 0x7FFF).astype(np.int64)
-        q = read_back(words, count, bucket, buckets)
-        out, end = [], np.cumsum(pdf["n"].to_numpy())
-        for batch, n, e in zip(pdf["batch"], pdf["n"], end, strict=True):
-            own = slice(e - n, e)
-            sums = np.bincount(doc[own], weights=adds[own])
-            ks = np.bincount(doc[own], weights=known[own])
-            levels = q[at[own][np.r_[True, x[own][1:] != x[own][:-1]]]]
-            out.append((1, batch, bucket, len(sums), sums.astype("<f8").tobytes(), ks.astype("<u4").tobytes(), levels.tobytes()))
-        by_level = np.bincount(q, minlength=LEVELS).astype("<i8")
-        by_level[0] = 0
-        out.append((3, 0, bucket, int((count > 0).sum()), by_level.tobytes(), b"", b""))
-        return pd.DataFrame(out, columns=["kind", "batch", "bucket", "n", "a", "b", "c"])
-
-    sent = docs.mapInPandas(send, "kind int, batch long, bucket int, n long, a binary, b binary, c binary")
-    out = sent.groupBy("kind", "bucket").applyInPandas(meet, "kind int, batch long, bucket int, n long, a binary, b binary, c binary")
-    return spool(out, "ngrams")
-
-
-def assemble(ngrams: DataFrame, per_token: float, texts: int) -> DataFrame:
-    """Batches of documents with their baseline and the levels of their tokens.
-
-    (head, base, known, before, own, pair): documents as JSON, baseline and known
-    tokens of each, and levels of each token's context, word and bigram.
+        pdf = pdf.sort_values("batch")
+        x = np.concatenate([from_sorted_planes(a) for a in pdf["a"]])
+        n = np.concatenate([from_planes(b, 4) for b in pdf["b"]])
+        x, at = np.unique(x, return_inverse=True)
+        count = np.bincount(at, weights=n, minlength=len(x)).astype(np.int64)
+        q = read_back(x, count, bucket, buckets)
+        out, end = [], 0
+        for batch, size in zip(pdf["batch"], pdf["n"], strict=True):
+            own = at[end : end + size]
+            end += size
+            out.append((kind, batch, bucket, size, planes(count[own], 7) if kind == 1 else b"", q[own].tobytes()))
+        if kind == 1:
+            by_level = np.bincount(q[count > 0], minlength=LEVELS).astype("<i8")
+            out.append((3, -1 - bucket, bucket, int((count > 0).sum()), by_level.tobytes(), b""))
+        return pd.DataFrame(out, columns=NAMES)
+
+    return docs.mapInPandas(send, NGRAMS).groupBy("kind", "bucket").applyInPandas(meet, NGRAMS)
+
+
+def assemble(ngrams: DataFrame, texts: int) -> DataFrame:
+    """Batches of documents with their logarithms and the levels of their tokens.
+
+    (n, head, base, known, before, own, pair): training tokens, documents as
+    JSON, sum of log10(count + 1) and known tokens of each, and levels of each
+    token's context, word and bigram. Rows without a head have a range's words:
+    their number n and, in base, how many there are of each level.
     """
     start = level(np.array([max(1, texts)]))[0]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf[pdf["kind"] == 0].iloc[0]
-        n = np.array(json.loads(row["a"])["n"])
-        base, known = -per_token * n, np.zeros(len(n), np.int64)
-        ranges = pdf.sort_values("bucket")
-        for r in ranges[ranges["kind"] == 1].itertuples():
-            base[: r.n] += np.frombuffer(r.a, "<f8")
-            known[: r.n] += np.frombuffer(r.b, "<u4")
-        # Ranges are in the order of hashes, as distinct n-grams are.
-        words = np.frombuffer(b"".join(ranges["c"][ranges["kind"] == 1]), np.uint8)
-        pairs = np.frombuffer(b"".join(ranges["a"][ranges["kind"] == 2]), np.uint8)
-        at = np.frombuffer(row["c"], "<u4")
-        h, own = eight(row["b"])[at], words[at]
-        before, q = np.empty_like(h), np.empty_like(own)
-        before[1:], q[1:] = h[:-1], own[:-1]
-        before[first_of(n)], q[first_of(n)] = START, start
-        where = np.unique(bigrams(h, before), return_inverse=True)[1]
-        out = (row["a"], base.astype("<f8").tobytes(), known.astype("<i8").tobytes(), q.tobytes(), own.tobytes(), pairs[where].tobytes())
-        return pd.DataFrame([out], columns=["head", "base", "known", "before", "own", "pair"])
-
-    rows = ngrams.filter("kind < 3").groupBy("batch")
-    return spool(rows.applyInPandas(meet, "head binary, base binary, known binary, before binary, own binary, pair binary"), "levels")
+        names = ["n", "head", "base", "known", "before", "own", "pair"]
+        if pdf["kind"].iloc[0] == 3:
+            return pd.DataFrame([(pdf["n"].iloc[0], None, pdf["a"].iloc[0], None, None, None, None)], columns=names)
+        row, ranges = pdf[pdf["kind"] == 0].iloc[0], pdf.sort_values("bucket")
+        head_size, n_words = struct.unpack_from("<II", row["a"])
+        head, rest = row["a"][8 : 8 + head_size], row["a"][8 + head_size :]
+        sizes = np.array(json.loads(head)["n"])
+        words, at = from_planes(rest[: 7 * n_words], 7), from_planes(rest[7 * n_words :], 4).astype(np.int64)
+        # Ranges are in the order of hashes.
+        order, own_rows = np.argsort(words), ranges[ranges["kind"] == 1]
+        count, q = np.empty(n_words, np.int64), np.empty(n_words, np.uint8)
+        count[order] = np.concatenate([from_planes(a, 7) for a in own_rows["a"]]).astype(np.int64)
+        q[order] = np.frombuffer(b"".join(own_rows["b"]), np.uint8)
+        h, own, first = words[at], q[at], first_of(sizes)
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[first] = start
+        pairs = np.frombuffer(b"".join(ranges["b"][ranges["kind"] == 2]), np.uint8)
+        where = np.unique(bigrams(h, contexts(h, sizes)), return_inverse=True)[1]
+        base = np.add.reduceat(np.log10(count + 1.0)[at], first)
+        known = np.add.reduceat((count > 0)[at].astype(np.int64), first)
+        out = (row["n"], head, base.astype("<f8").tobytes(), known.astype("<i8").tobytes(), before.tobytes(), own.tobytes(), pairs[where].tobytes())
+        return pd.DataFrame([out], columns=names)
+
+    rows = ngrams.groupBy("batch").applyInPandas(meet, "n long, head binary, base binary, known binary, before binary, own binary, pair binary")
+    return spool(rows, "levels")
 
 
 def levels_of(row) -> list[np.ndarray]:
@@ -333,13 +336,14 @@ def score_texts(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", left.cast("int").alias("held_out"))
     size, texts = docs.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("held_out") == 0, 1))).first()
     buckets = max(8, -(-(size or 0) // RANGE_BYTES))
-    ngrams = gather(docs, buckets)
-    train_tokens = ngrams.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    found = assemble(gather(docs, buckets), texts)
+    batches_of = found.filter("head is not null").drop("n")
+    train_tokens = found.filter("head is not null").agg(F.sum("n")).first()[0] or 0
     vocabulary, count = 0, np.zeros(LEVELS, np.int64)
-    for r in ngrams.filter("kind = 3").select("n", "a").toLocalIterator():
-        vocabulary, count = vocabulary + r["n"], count + np.frombuffer(r["a"], "<i8")
+    for r in found.filter("head is null").select("n", "base").toLocalIterator():  # a row for each range
+        vocabulary, count = vocabulary + r["n"], count + np.frombuffer(r["base"], "<i8")
     z = float((count[1:] * (middle_of(np.arange(1, LEVELS)) + 1)).sum() + 1)
-    batches_of = assemble(ngrams, float(np.log10(train_tokens + vocabulary + 1)), texts)
+    per_token = float(np.log10(train_tokens + vocabulary + 1))
     weight = fit_weights(batches_of, z)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -352,7 +356,7 @@ def score_texts(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
                 w = weight[q]
                 score = np.add.reduceat(np.log10(w * p2 + (1 - w) * p1), first_of(n))
                 out = {"doc_id": head["doc_id"], "held_out": head["held_out"], "n_tokens": n, "n_known": np.frombuffer(row.known, "<i8")}
-                out |= {"train_tokens": train_tokens, "base_score": np.frombuffer(row.base, "<f8"), "score": score}
+                out |= {"train_tokens": train_tokens, "base_score": np.frombuffer(row.base, "<f8") - per_token * n, "score": score}
                 out = pd.DataFrame(out).astype({"doc_id": "Int64"})
                 out["held_out"] = out["held_out"].map(lambda x: None if pd.isna(x) else bool(x)).astype(object)
                 yield out

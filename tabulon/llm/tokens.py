@@ -19,7 +19,7 @@ import numpy as np
 from .common import Bounded
 
 #: Words and their cores kept by one Python worker (twice as many at most).
-WORDS, CORES = 500_000, 350_000
+WORDS, CORES = 200_000, 150_000
 
 #: Letters, and then ASCII marks that are neither letter, digit, space nor apostrophe.
 SPLIT = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
