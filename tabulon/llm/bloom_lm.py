@@ -27,7 +27,6 @@ import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -234,11 +233,17 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
                             out.append((kind, number, i, b - a, sorted_planes(x[a:b]), planes(n[a:b], 4)))
                 yield pd.DataFrame(out, columns=NAMES)
 
-    def meet(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        kind, bucket = int(key[0]), int(key[1])
-        if kind == 0:
-            return pdf
-        pdf = pdf.sort_values("batch")
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for pdf in batches:
+            yield pdf[pdf["kind"] == 0]
+            held.append(pdf[pdf["kind"] > 0])
+        if any(map(len, held)):
+            yield answers(pd.concat(held).sort_values("batch"))
+
+    def answers(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one kind and range, which is what a partition has beside documents."""
+        kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
         x = np.concatenate([from_sorted_planes(a) for a in pdf["a"]])
         n = np.concatenate([from_planes(b, 4) for b in pdf["b"]])
         x, at = np.unique(x, return_inverse=True)
@@ -254,7 +259,10 @@ def gather(docs: DataFrame, buckets: int) -> DataFrame:
             out.append((3, -1 - bucket, bucket, int((count > 0).sum()), by_level.tobytes(), b""))
         return pd.DataFrame(out, columns=NAMES)
 
-    return docs.mapInPandas(send, NGRAMS).groupBy("kind", "bucket").applyInPandas(meet, NGRAMS)
+    # A partition for each kind and range, so that no two of them meet in a task.
+    at = F.when(F.col("kind") == 2, F.col("bucket") + buckets).when(F.col("kind") == 1, F.col("bucket"))
+    at = F.coalesce(at, F.pmod("batch", F.lit(2 * buckets))).cast("int")
+    return docs.mapInPandas(send, NGRAMS).repartitionById(2 * buckets, at).mapInPandas(meet, NGRAMS)
 
 
 def assemble(ngrams: DataFrame, texts: int) -> DataFrame:
