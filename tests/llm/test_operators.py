@@ -406,12 +406,61 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(df.limit(0), lab, F.lit(True)).count() == 0
 
 
+def weight_of(grammar, text, words=None):
+    return grammar.features(*grammar.clauses(text, words or grammar.words()))[0]
+
+
 def test_grammar_scores_clauses():
     g = toxicity.Grammar({"idiot": 2.0})
-    words = g.words()
-    plain, negated, told, targeted = (g.features(t, words)[0] for t in ("x idiot", "not an idiot", 'he said "idiot"', "you idiot"))
-    assert plain == 2.0 and negated < plain and told < plain and targeted > plain
-    assert g.features("i will kill you", words)[0] > 0 and g.features("kill time. you", words)[0] == 0 and g.features("", words)[0] == 0
+    plain, negated, told, targeted, aimed = (weight_of(g, t) for t in ("x idiot", "not an idiot", 'he said "idiot"', "you idiot", "idiot that you"))
+    assert plain == 2.0 and negated < plain and told < plain and targeted > plain and aimed > plain
+    assert weight_of(g, "i will kill you") > 0 and weight_of(g, "kill time. you") == 0 and weight_of(g, "") == 0
+
+
+def test_composition_is_the_machines_side_by_side():
+    """The composed machine against every machine run by itself, on random clauses."""
+    rng = random.Random(13)
+    g = toxicity.Grammar({})
+    parts = toxicity.machines()
+    for _ in range(3000):
+        read = [(rng.choice(toxicity.CLASSES), rng.random()) for _ in range(rng.randrange(12))]
+        want = 0.0
+        states = dict.fromkeys(parts, 0)
+        for c, w in read:
+            marks = set()
+            for name, m in parts.items():
+                states[name], put = m.arcs[states[name], c]
+                marks.add(put)
+            factor = 1.0
+            for m in marks & {"targeted", "negated", "reported"}:
+                factor *= g.weights[m]
+            want += factor * (w * ("insult" in marks) + sum(g.weights[m] for m in marks & {"threat", "aimed"}))
+        got = g.clause([(c, w if c == "i" else 0.0) for c, w in read])
+        times, plus = toxicity.values(g.machine.marks, g.weights)
+        assert sum(w * times[i] + n * plus[i] for i, (w, n) in got.items()) == pytest.approx(want)
+
+
+def test_each_machine_matters():
+    cases = {"insult": "some scum", "target": "you idiot", "negation": "not a scum", "reported": "mary said scum", "threat": "kill you. kill you. kill you"}
+    assert set(cases) == set(toxicity.machines())
+    toxic = lambda g, t: g.score([t], g.words())[0] >= 0.5
+    whole = toxicity.Grammar({"idiot": 3.0, "scum": 4.0})
+    for name, text in cases.items():
+        assert toxic(whole, text) == (name in ("insult", "target", "threat"))
+        assert toxic(toxicity.Grammar(whole.arcs, without=(name,)), text) != toxic(whole, text), name
+
+
+def test_weights_of_marks_are_learned(spark):
+    rng = random.Random(14)
+    fill = lambda: " ".join(f"w{rng.randrange(200)}" for _ in range(8))
+    forms = [("w9 idiotword", 1)] * 4 + [("not w6 idiotword", 0), ("w8 said w9 idiotword", 0)] + [("i will kill you", 1)] * 2 + [("kill time", 0)] * 4
+    forms += [("i will do nothing here", 0)] * 40
+    rows = [(i, ". ".join([fill(), forms[i % 52][0] + " " + fill(), fill()]), forms[i % 52][1]) for i in range(52 * 24)]
+    lab = labels(spark, [(i, 1, y) for i, _, y in rows])
+    g = toxicity.learn(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), lab, F.col("id") >= 0)
+    assert ((g.score([t for _, t, _ in rows], g.words()) >= 0.5) == [y for _, _, y in rows]).mean() >= 0.98
+    assert g.weights["reported"] < toxicity.PRIOR["reported"]
+    assert "you" not in g.arcs or g.words()["you"][0] == "t"
 
 
 def test_quality(spark):
