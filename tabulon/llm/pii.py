@@ -1,8 +1,9 @@
 """Personal data: fixed forms, and forms found by bootstrapped contexts.
 
 Base identifiers (e-mail, IP, card, phone) are found by their form. They seed a
-graph of contexts and instances: a context is the words around an
-identifier-like string, an instance is that string. Spark scores the graph in
+graph of contexts and instances: a context is a pattern of the words around an
+identifier-like string, or of a word's ending and the string's shape; an instance
+is that string. Spark scores the graph in
 rounds: a context is as good as the share of its instances that are known, an
 instance as good as its contexts together. Contexts with high scores then mark
 identifier-like strings that no base form covers.
@@ -11,9 +12,11 @@ identifier-like strings that no base form covers.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +34,12 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
 
-#: Identifier-like strings that contexts may mark.
-LIKE = re.compile(r"[^\s@,;:|<>\"'()\[\]]+@[^\s@,;:|<>\"'()\[\]]+|\+?[0-9](?:[ ().-]{0,2}[0-9])+")
-WORDS_BEFORE = re.compile(r"(\S+)\s+(\S+)\s*$|(\S+)\s*$")
+#: Identifier-like strings that contexts may mark: around an at sign, or digits and few marks.
+AROUND = re.compile(r"[^\s@,;:|<>\"'()\[\]]+")
+LOOSE = re.compile(r"\+?[0-9](?:[ ().-]{0,2}[0-9])+")
+WORD = re.compile(r"\S+")
+#: Words and instances of more characters stand in contexts by a hash.
+LONG = 64
 
 #: Up to so many accepted contexts, every task holds them all.
 FEW = 50_000
@@ -97,45 +103,104 @@ def fits(kind: str, instance: str) -> bool:
     return kind == "ip" and instance.count(".") == 3
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical contexts of a span: one and two words before, one on each side."""
-    clean = lambda w: re.sub(r"[0-9]+", "0", w.lower()).strip(".,;:!?|\"'()[]<>")
-    before = text[max(0, start - 80) : start].split()
-    after = text[end : end + 40].lstrip(" .,;:!?|\"'()[]<>").split()
-    one = clean(before[-1]) if before else "^"
-    two = clean(before[-2]) if len(before) > 1 else "^"
-    right = clean(after[0]) if after else "$"
-    return [f"1 {one}", f"2 {two} {one}", f"3 {one} _ {right}"]
-
-
-def candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, str]]:
-    """Identifier-like strings that overlap no base span."""
-    i = 0
-    for m in LIKE.finditer(text):
-        while i < len(base) and base[i][2] <= m.start():
-            i += 1
-        if any(b[1] < m.end() and b[2] > m.start() for b in base[i : i + 4]):
-            continue
-        s = m.group().rstrip(".-")
-        if len(s) >= 7 and any(fits(k, s) for k in KINDS):
-            yield m.start(), m.start() + len(s), s
+def short(s: str) -> str:
+    """The text itself, or a hash of all of it where it is long."""
+    return s if len(s) <= LONG else f"#{xxhash.xxh3_64_hexdigest(s.encode('utf-8', 'replace'))}"
+
+
+def clean(word: str) -> str:
+    return short(re.sub(r"[0-9]+", "0", word.lower()).strip(".,;:!?|\"'()[]<>"))
+
+
+def shape(instance: str) -> str:
+    """Digits as 0, runs of letters as a, all else as it is."""
+    return short(re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "0", instance)))
+
+
+def with_contexts(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, list[str]]]:
+    """(instance, contexts) of each span, in time linear in the text.
+
+    Patterns are the word before, the two words before, the words on both sides,
+    and the ending of the word before with the instance's shape. Words are taken
+    whole; of a word that a span lies in, what is before and after the span
+    counts, up to its neighbour. ``spans`` come by start.
+    """
+    if not spans:
+        return
+    words = [m.span() for m in WORD.finditer(text)]
+    starts, cleaned = [a for a, _ in words], {}
+
+    def word(i: int) -> str:
+        if i not in cleaned:
+            cleaned[i] = clean(text[slice(*words[i])]) if 0 <= i < len(words) else "^" if i < 0 else "$"
+        return cleaned[i]
+
+    edge = 0
+    for n, (a, b) in enumerate(spans):
+        i = bisect_right(starts, a) - 1
+        part = clean(text[max(words[i][0], edge) : a])
+        one, two = (part, word(i - 1)) if part else (word(i - 1), word(i - 2))
+        j = bisect_right(starts, b - 1) - 1
+        follows = spans[n + 1][0] if n + 1 < len(spans) else len(text)
+        right = clean(text[b : min(words[j][1], max(b, follows))]) or word(j + 1)
+        edge = max(edge, b)
+        instance = text[a:b]
+        yield instance, [f"1 {one}", f"2 {two} {one}", f"3 {one} _ {right}", f"4 {one[-3:]} {shape(instance)}"]
+
+
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
+    """Identifier-like strings that overlap no base span, by start, in linear time."""
+    found, end, at = [], 0, text.find("@")
+    while at >= 0:
+        m = AROUND.match(text, at + 1)
+        start = at
+        while m and start > end and AROUND.match(text, start - 1, start):
+            start -= 1
+        if m and start < at:
+            end = m.end()
+            found.append((start, end))
+        at = text.find("@", max(at + 1, end))
+    taken = sorted([*found, *((a, b) for _, a, b in base)])
+    found, i, end = [(a, b, True) for a, b in found], 0, 0
+    for m in LOOSE.finditer(text):
+        while i < len(taken) and taken[i][0] < m.end():
+            end, i = max(end, taken[i][1]), i + 1
+        if end <= m.start():
+            found.append((*m.span(), False))
+    out, i, end = [], 0, 0
+    for a, b, mail in sorted(found):
+        while mail and i < len(base) and base[i][1] < b:
+            end, i = max(end, base[i][2]), i + 1
+        s = text[a:b].rstrip(".-")
+        if (not mail or end <= a) and len(s) >= 7 and any(fits(k, s) for k in KINDS):
+            out.append((a, a + len(s)))
+    return out
+
+
+def instances(text: str) -> Iterator[tuple[str, str | None, list[str]]]:
+    """(instance, its base kind if any, contexts) of a text."""
+    base = base_spans(text)
+    spans = sorted([(a, b, k) for k, a, b in base] + [(a, b, "") for a, b in candidates(text, base)])
+    for (_, _, kind), (instance, around) in zip(spans, with_contexts(text, [(a, b) for a, b, _ in spans]), strict=True):
+        yield instance, kind or None, around
 
 
 def edges(docs: DataFrame) -> DataFrame:
-    """(context, instance, kind): the graph; kind is null for mere candidates."""
+    """(context, instance, kind): the graph; kind is null for mere candidates.
+
+    An instance is a 64-bit hash of the whole string.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for text in as_text(pdf["text"]):
-                base = base_spans(text)
-                for kind, a, b in base:
-                    out += [(c, text[a:b][:128], kind) for c in contexts(text, a, b)]
-                for a, b, s in candidates(text, base):
-                    out += [(c, s[:128], None) for c in contexts(text, a, b)]
+                for instance, kind, around in instances(text):
+                    h = xxhash.xxh3_64_intdigest(instance.encode("utf-8", "replace")) - (1 << 63)
+                    out += [(c, h, kind) for c in around]
             yield pd.DataFrame(out, columns=["context", "instance", "kind"])
 
-    return docs.select("text").mapInPandas(run, "context string, instance string, kind string").distinct()
+    return docs.select("text").mapInPandas(run, "context string, instance long, kind string").distinct()
 
 
 def learn_contexts(docs: DataFrame, rounds: int = 3, least: int = 4, accept: float = 0.8) -> DataFrame:
@@ -173,15 +238,22 @@ def all_spans(text: str, trusted: dict[tuple[str, str], float], accept: float =
     """Base spans, and those together with what trusted contexts mark."""
     base = base_spans(text)
     more = []
-    if trusted:
-        for a, b, s in candidates(text, base):
-            around = contexts(text, a, b)
-            best = max((trusted.get((c, k), 0.0), -i) for i, k in enumerate(KINDS) if fits(k, s) for c in around)
-            if best[0] >= accept:
-                more.append((KINDS[-best[1]], a, b))
+    spans = candidates(text, base) if trusted else []
+    for (a, b), (s, around) in zip(spans, in_company(text, base, spans), strict=True):
+        best = max((trusted.get((c, k), 0.0), -i) for i, k in enumerate(KINDS) if fits(k, s) for c in around)
+        if best[0] >= accept:
+            more.append((KINDS[-best[1]], a, b))
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def in_company(text: str, base: list[Span], spans: list[tuple[int, int]]) -> Iterator[tuple[str, list[str]]]:
+    """The contexts of candidates as the graph has them, among base spans."""
+    every = sorted([(a, b, True) for _, a, b in base] + [(a, b, False) for a, b in spans]) if spans else []
+    for (_, _, known), found in zip(every, with_contexts(text, [(a, b) for a, b, _ in every]), strict=True):
+        if not known:
+            yield found
+
+
 def marks(texts: DataFrame, accepted: DataFrame) -> DataFrame:
     """(key, marks) of the texts (key, text) in which accepted contexts mark something.
 
@@ -193,9 +265,11 @@ def marks(texts: DataFrame, accepted: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for key, text in zip(pdf["key"], as_text(pdf["text"]), strict=True):
-                for a, b, s in candidates(text, base_spans(text)):
+                base = base_spans(text)
+                spans = candidates(text, base)
+                for (a, b), (s, around) in zip(spans, in_company(text, base, spans), strict=True):
                     kinds = [(i, k) for i, k in enumerate(KINDS) if fits(k, s)]
-                    out += [(key, a, b, c, k, -i) for c in contexts(text, a, b) for i, k in kinds]
+                    out += [(key, a, b, c, k, -i) for c in around for i, k in kinds]
             yield pd.DataFrame(out, columns=["key", "a", "b", "context", "kind", "i"])
 
     each = texts.mapInPandas(run, "key binary, a int, b int, context string, kind string, i int")
@@ -243,7 +317,8 @@ def find_pii(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, base, spans): joined base spans and all spans of whole texts.
 
     Offsets are code points, ends exclusive. Null and empty texts have none;
-    repeated rows give repeated rows.
+    repeated rows give repeated rows, and count once in the graph; an empty
+    table gives none. Other columns, whatever their names, are not read.
     """
     docs = pick(docs, "doc_id", "text")
     both = lambda t, base, spans: f"{joined(base)};{joined(spans)}"
@@ -257,6 +332,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
     Of overlapping spans the one that starts first, or else is first in order,
     names the kind; the whole overlap goes. Other columns stay; null texts stay.
+    Rows go by their texts alone, whatever their ids.
     """
     names = docs.columns
     own = docs.toDF(*(f"_c{i}" for i in range(len(names))))

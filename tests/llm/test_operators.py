@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -203,6 +204,78 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
 
 
+def brute_spans(texts, rounds=3, least=4, accept=0.8):
+    """The bootstrap in plain Python, over the same patterns and instances."""
+    graph = {(c, s, k) for t in texts for s, k, around in pii.instances(t or "") for c in around}
+    pairs = {(c, s) for c, s, _ in graph}
+    size = {}
+    for c, _ in pairs:
+        size[c] = size.get(c, 0) + 1
+    seeds = {(s, k): 1.0 for _, s, k in graph if k}
+    known, accepted = {}, {}
+    for turn in range(rounds):
+        score = {}
+        links = [(c, k, 1.0) for c, s, k in graph if k] if turn == 0 else [(c, k, v) for c, s in pairs for k in pii.KINDS if (v := known.get((s, k))) is not None]
+        for c, k, v in links:
+            n, total = score.get((c, k), (0, 0.0))
+            score[c, k] = n + 1, total + v
+        accepted = {ck: total / (size[ck[0]] + 1) for ck, (n, total) in score.items() if n >= least and total / (size[ck[0]] + 1) >= accept}
+        known, miss = {}, {}
+        for c, s in pairs:
+            for k in pii.KINDS:
+                if (c, k) in accepted:
+                    miss[s, k] = miss.get((s, k), 1.0) * max(1 - accepted[c, k], 1e-6)
+        known = {sk: 1 - m for sk, m in miss.items()} | seeds
+    return [pii.all_spans(t or "", accepted)[1] for t in texts]
+
+
+def test_bootstrap_against_brute_force(spark):
+    rng = random.Random(21)
+    where = ["ring", "call me on", "write to", "card no", "server", "the year", "order"]
+    make = [lambda: f"+1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}", lambda: f"555-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}", lambda: f"a{rng.randrange(99)}@b.org", lambda: f"a{rng.randrange(99)}@intra", lambda: f"10.0.{rng.randrange(300)}.{rng.randrange(256)}", lambda: "4111 1111 1111 1111", lambda: f"{rng.randrange(10**15, 10**16)}"]
+    texts = [" ".join(f"{rng.choice(where)} {rng.choice(make)()} {rng.choice(['now', 'today,', '(or)'])}" for _ in range(rng.randrange(4))) for _ in range(400)]
+    texts += [f"dial {make[0]()} now" for _ in range(30)] + ["dial 555-867-5309 now"] * 3 + [None, "", "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
+    want = brute_spans(texts)
+    assert [got[i]["spans"] for i in range(len(texts))] == [pii.joined(w) for w in want]
+    assert sum(len(got[i]["spans"]) > len(got[i]["base"]) for i in got) >= 3
+
+
+def test_contexts_of_spans():
+    """Against cutting and splitting the text anew for each span."""
+    rng = random.Random(22)
+    bits = ["tel:", "call ", "555-123-4567", "a@b", "x@y.org", "+1 555 555 5555", " ", ", ", "(", ")", "word", "\n", "Ab3 ", "1.2.3.4", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        base = pii.base_spans(text)
+        spans = sorted({(a, b) for _, a, b in base} | set(pii.candidates(text, base)))
+        edge = 0
+        for n, ((a, b), (instance, around)) in enumerate(zip(spans, pii.with_contexts(text, spans), strict=True)):
+            before, after = text[:a].split(), text[b : spans[n + 1][0] if n + 1 < len(spans) else None]
+            part = ""
+            if a and not text[a - 1].isspace():
+                start = max(len(text[:a]) - len(before[-1]), edge)
+                part = pii.clean(text[start:a])
+                before = before[:-1]
+            names = [*["^"] * 2, *map(pii.clean, before), *[part] * bool(part)]
+            rest = text[b:]
+            own = rest[: len(rest) - len(rest.lstrip())] == "" and after and not after[0].isspace() and pii.clean(after.split()[0])
+            if not own:
+                more = rest.split() if not rest or rest[0].isspace() else rest.split()[1:]
+                own = pii.clean(more[0]) if more else "$"
+            edge = max(edge, b)
+            assert instance == text[a:b]
+            assert around[:3] == [f"1 {names[-1]}", f"2 {names[-2]} {names[-1]}", f"3 {names[-1]} _ {own}"], (text, a, b)
+
+
+def test_candidates_in_linear_time():
+    for text in ("a" * 1_000_000, "a@" * 300_000, "555-123-4567x" * 60_000, "@" * 500_000, "1" * 1_000_000, "x" * 500_000 + "@y " + "z" * 500_000):
+        start = time.perf_counter()
+        list(pii.instances(text))
+        assert time.perf_counter() - start < 12, text[:20]
+
+
 def test_contexts_that_tasks_do_not_hold(spark, monkeypatch):
     word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}")
     rows = [(None if i == 3 else i, f"{word(i)} ring {word(i)}x +1 ({i + 100}) 555-{j:02d}{j:02d} {word(i)}y") for i in range(100) for j in range(9)]
