@@ -31,7 +31,7 @@ from .words import MIX, mixed, runs, shingle_sets
 #: Minhashes of a band, and with which probability a pair at the threshold may be missed.
 ROWS, MISSED = 3, 1e-4
 #: Shingles hashed at once; shingles that a task compares with one document, about.
-AT_ONCE, LOAD = 1024, 1 << 19
+AT_ONCE, LOAD = 1024, 1 << 16
 #: Up to so many rows of ids, tasks hold them all (some 30 bytes each).
 FEW = 1_000_000
 #: Rows of a key beyond which the key is joined apart from others.
@@ -94,30 +94,30 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], n: s
 
 
 def bucket_rows(reps: DataFrame, bands: int) -> DataFrame:
-    """(key, id, pivot, n): a row for each table of each set that may meet another there."""
-    each = reps.select("id", F.posexplode("bands").alias("band", "h"))
+    """(key, id, size, pivot, n): a row for each table of each set that may meet another there."""
+    each = reps.select("id", F.col("n_shingles").alias("size"), F.posexplode("bands").alias("band", "h"))
     counts = spool(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "bands")
-    shared = join_counted(each, counts, "h").groupBy("id").agg(
+    shared = join_counted(each, counts, "h").groupBy("id", "size").agg(
         F.collect_list(F.when(F.col("band") < bands, F.col("h"))).alias("a"),
         F.collect_list(F.when(F.col("band") >= bands, F.col("h"))).alias("b"),
     )
     shared = spool(shared, "shared")
-    keyed = shared.select("id", F.explode("a").alias("x"), "b").select("id", "x", F.explode("b").alias("y"))
-    keyed = keyed.select(F.xxhash64("x", "y").alias("key"), "id")
+    keyed = shared.select("id", "size", F.explode("a").alias("x"), "b").select("id", "size", "x", F.explode("b").alias("y"))
+    keyed = keyed.select(F.xxhash64("x", "y").alias("key"), "id", "size")
     more = spool(keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "tables")
     return join_counted(keyed, more, "key")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, linked) of the written ``pairs``, by intersection and union of the full sets.
 
-    ``sizes`` has (id, n_shingles). A document b that stands in many pairs gets
+    ``pairs`` has (a, b) and the size of a's set. A document b that stands in many pairs gets
     copies, as many as the documents a beside it need, and copies and their
     pairs are dealt into bins of bounded size; so no text is sent once a pair,
     and no task has all pairs of one document.
     """
     spark = pairs.sparkSession
-    loads = pairs.join(sizes.select(F.col("id").alias("a"), "n_shingles"), "a").groupBy("b").agg(F.sum("n_shingles").alias("load"))
+    loads = pairs.groupBy("b").agg(F.sum("size").alias("load"))
     loads = spool(loads.withColumn("copies", F.ceil(F.col("load") / LOAD).cast("long")), "loads")
     total = loads.agg(F.sum("load")).first()[0] or 0
     bins = F.lit(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // LOAD)))
@@ -184,7 +184,7 @@ def unresolved(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 512) -> DataFrame:
-    """(a, b) among ``texts`` (id, root, text) that may be linked across components.
+    """(a, b, size of a) among ``texts`` (id, root, text) that may be linked across components.
 
     The exact way beyond buckets: sets of similarity t share one of the
     n - ceil(t * n) + 1 shingles that are rarest among these documents. What a
@@ -239,9 +239,9 @@ def prefix_pairs(texts: DataFrame, k: int, percent: int, block: int = 512) -> Da
         # From the first shared shingle on, both have to hold the whole intersection.
         near &= (100 + percent) * np.minimum(r[:, None], s[None]) >= percent * (n[:, None] + m[None])
         p, q = np.nonzero(near if i != j else np.triu(near, 1))
-        return pd.DataFrame({"a": np.maximum(a[p], b[q]), "b": np.minimum(a[p], b[q])})
+        return pd.DataFrame({"a": np.maximum(a[p], b[q]), "b": np.minimum(a[p], b[q]), "size": np.where(a[p] > b[q], n[p], m[q])})
 
-    return at.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+    return at.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long, size long").distinct()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -262,8 +262,8 @@ def find_groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> Dat
     sets = all_.filter("n_shingles > 0").groupBy("s1", "s2")
     lead = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     reps = spool(sets.agg(F.min("row").alias("id"), F.min(lead).alias("lead"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "sets")
-    rows = spool(bucket_rows(reps.select("id", "bands"), bands), "buckets")
-    first = spool(rows.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    rows = spool(bucket_rows(reps.select("id", "n_shingles", "bands"), bands), "buckets")
+    first = spool(rows.filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"), "size").distinct(), "pairs")
     named = docs.select(F.col("row").alias("id"), "text")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -271,8 +271,7 @@ def find_groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> Dat
         ids = F.broadcast(ids) if ids.count() <= FEW else ids
         return named.join(ids, "id", "left_semi")
 
-    sizes = reps.select("id", "n_shingles")
-    checked = spool(verify(first, texts_of(first), sizes, k, percent), "verified")
+    checked = spool(verify(first, texts_of(first), k, percent), "verified")
     links = checked.filter("linked")
     roots = components(links, "roots")
     open_ = spool(unresolved(rows, roots), "unresolved")
@@ -282,7 +281,7 @@ def find_groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> Dat
         texts = named.join(few, "id")
         rest = prefix_pairs(texts, k, percent).join(checked.select("a", "b"), ["a", "b"], "left_anti")
         rest = spool(rest, "residual")
-        more = spool(verify(rest, texts_of(rest), sizes, k, percent).filter("linked"), "verified-rest")
+        more = spool(verify(rest, texts_of(rest), k, percent).filter("linked"), "verified-rest")
         if not more.isEmpty():
             star = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
             roots = components(star.unionByName(more.select("a", "b")), "all-roots")
