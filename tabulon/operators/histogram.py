@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import as_text, float_of
+from ..functions.text import as_text, col, float_of
 from ..sources.readers import require_columns
 
 
@@ -17,7 +18,9 @@ def score_histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     if bins <= 0:
         raise ValueError("bins must be positive")
     require_columns(df, column)
-    x = df.select(float_of(as_text(df, column)).alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
+    # Numbers need no way through text.
+    value = col(column).cast("double") if isinstance(df.schema[column].dataType, T.NumericType) else float_of(as_text(df, column))
+    x = df.select(value.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")))
     ends = x.agg(F.min("x").alias("a"), F.max("x").alias("b"))  # one row
     wide = (F.col("b") - F.col("a")) / bins
     place = F.when(F.col("b") > F.col("a"), F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("a")) / wide))).otherwise(0).cast("int")

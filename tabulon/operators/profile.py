@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import float_text, marked_currency, moment_of, number_of, number_text, rounded, text
 from ..sources.readers import POSITION, require_columns, with_position
@@ -46,7 +47,11 @@ def profile_columns(
         (v != "").alias("filled"), F.lower(v).isin(dummies).alias("dummy"),
     )
     parsed = parsed.withColumn("real", F.col("filled") & ~F.col("dummy"))
-    parsed = parsed.withColumn("x", F.when(F.col("real"), number_of(v))).withColumn("d", F.when(F.col("real"), moment_of(v)))
+    # Columns of numbers were numbers before they were text, and fractions are no dates.
+    numeric = F.col("column").isin([c for c in names if isinstance(df.schema[c].dataType, T.NumericType)])
+    fraction = F.col("column").isin([c for c in names if isinstance(df.schema[c].dataType, T.DoubleType | T.FloatType)])
+    parsed = parsed.withColumn("x", F.when(F.col("real"), F.when(numeric, v.try_cast("double")).otherwise(number_of(v))))
+    parsed = parsed.withColumn("d", F.when(F.col("real") & ~fraction, moment_of(v)))
     by = Window.partitionBy("column")
     ranked = parsed.withColumn("top", F.row_number().over(by.orderBy(F.desc("n"), "first_pos")))
     real, x, d = F.col("real"), F.col("x"), F.col("d")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import float_of, fold, moment_of, rounded, strip, text, tokens
 from ..sources.readers import require_columns
-from .duplicates import arrow_scorer, ratio
+from .duplicates import levenshtein
 from .profile import frequencies
 
 # Legal forms of companies, and short forms in addresses.
@@ -23,22 +23,27 @@ def universal(c: Column) -> Column:
 
 
 def person(c: Column) -> Column:
-    """Folded tokens without titles and suffixes."""
+    """Folded tokens without titles and suffixes; ``Last, First`` becomes ``First Last``."""
     drop = ["mr", "mrs", "ms", "dr", "prof", "jr", "sr", "ii", "iii"]
-    return F.array_join(F.filter(tokens(fold(c)), lambda t: ~t.isin(drop)), " ")
+    plain = lambda x: F.filter(tokens(fold(x)), lambda t: ~t.isin(drop))
+    last, first = plain(F.substring_index(c, ",", 1)), plain(F.regexp_replace(c, "^[^,]*,?", ""))
+    return F.array_join(F.when(F.size(first) > 0, F.concat(first, last)).otherwise(last), " ")
 
 
 def company(c: Column) -> Column:
-    return F.array_join(F.filter(tokens(fold(c)), lambda t: ~t.isin(COMPANY_FORMS)), " ")
+    """Folded tokens without legal forms; an ampersand is ``and``."""
+    return F.array_join(F.filter(tokens(fold(F.replace(c, F.lit("&"), F.lit(" and ")))), lambda t: ~t.isin(COMPANY_FORMS)), " ")
 
 
 def address(c: Column) -> Column:
-    short = F.create_map(*(F.lit(x) for kv in ADDRESS_FORMS.items() for x in kv))
-    return F.array_join(F.transform(tokens(fold(c)), lambda t: F.coalesce(F.try_element_at(short, t), t)), " ")
+    """Folded tokens with abbreviations and directions written out."""
+    long = F.create_map(*(F.lit(x) for kv in ADDRESS_FORMS.items() for x in reversed(kv)))
+    return F.array_join(F.transform(tokens(fold(c)), lambda t: F.coalesce(F.try_element_at(long, t), t)), " ")
 
 
 def phone(c: Column) -> Column:
-    return F.regexp_replace(c, r"\D", "")
+    """Digits, with a plus sign that comes before all of them."""
+    return F.concat(F.when(c.rlike(r"^\D*\+\D*\d"), "+").otherwise(""), F.regexp_replace(c, r"\D", ""))
 
 
 def date(c: Column) -> Column:
@@ -46,7 +51,10 @@ def date(c: Column) -> Column:
 
 
 def email(c: Column) -> Column:
-    return F.lower(strip(c))
+    """Lower case, without ``mailto:``, and without dots in the local part of Gmail addresses."""
+    c = F.regexp_replace(F.lower(strip(c)), "^mailto:", "")
+    local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
+    return F.when(c.rlike("@(?:gmail|googlemail)[.]com$"), F.concat(F.replace(local, F.lit("."), F.lit("")), F.lit("@"), domain)).otherwise(c)
 
 
 NORMALIZERS = {"universal": universal, "person": person, "company": company, "address": address, "phone": phone, "date": date, "email": email}
@@ -97,12 +105,18 @@ def validate_types(profile: DataFrame, expected: dict[str, str]) -> DataFrame:
     return out.filter((F.col("expected") != F.col("inferred_type")) | (F.col("parse_rate") < 1))
 
 
+def fuzzy_ratio(a: Column, b: Column) -> Column:
+    """Levenshtein ratio of the values as they stand, tokens unsorted."""
+    return levenshtein(a, b)
+
+
 def email_composite(a: Column, b: Column) -> Column:
-    """Domain equal: 0.4 + 0.6 * similarity of the local parts; else 0.5 * that."""
+    """Half for the domain, half for the ratio of local parts; another domain allows 0.5 at most, a blank 0."""
     a, b = email(a), email(b)
-    local = arrow_scorer(ratio)(F.substring_index(a, "@", 1), F.substring_index(b, "@", 1))
+    local = fuzzy_ratio(F.substring_index(a, "@", 1), F.substring_index(b, "@", 1))
     same = F.substring_index(a, "@", -1) == F.substring_index(b, "@", -1)
-    return F.when(a == b, 1.0).when(same, 0.4 + 0.6 * local).otherwise(0.5 * local)
+    blank = F.coalesce(a, F.lit("")).isin("") | F.coalesce(b, F.lit("")).isin("")
+    return F.when(blank, 0.0).when(same, 0.5 + 0.5 * local).otherwise(F.least(F.lit(0.5), 0.5 * local))
 
 
 def exact(a: Column, b: Column) -> Column:
@@ -123,25 +137,49 @@ def normalized_distance(a: Column, b: Column, low: Column, high: Column) -> Colu
     return F.coalesce(F.when(span == 0, 1.0).otherwise(1 - F.abs(x - y) / span), F.lit(0.0))
 
 
-def within_cluster_scores(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
-    """(cluster_id, record_id, record_score, cluster_score): means over the pairs of a cluster.
-
-    ``scorers`` maps columns to (Column, Column) -> Column.
-    """
+def cluster_pairs(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
+    """(cluster_id, id, id2, s0, s1, ...) of all pairs of a cluster's rows with different ids."""
     require_columns(df, cluster_column, id_column, *scorers)
     rows = df.select(text(df, cluster_column).alias("cluster_id"), text(df, id_column).alias("id"), *(text(df, c).alias(f"v{i}") for i, c in enumerate(scorers)))
     rows = rows.filter("cluster_id <> ''")
     other = rows.select("cluster_id", F.col("id").alias("id2"), *(F.col(f"v{i}").alias(f"w{i}") for i in range(len(scorers))))
     pairs = rows.join(other, "cluster_id").filter("id < id2")
-    each = [f(F.col(f"v{i}"), F.col(f"w{i}")) for i, f in enumerate(scorers.values())]
-    pairs = pairs.withColumns({f"s{i}": s for i, s in enumerate(each)})
-    mean = functools.reduce(operator.add, [F.col(f"s{i}") for i in range(len(each))]) / len(each)
+    return pairs.select("cluster_id", "id", "id2", *(f(F.col(f"v{i}"), F.col(f"w{i}")).alias(f"s{i}") for i, f in enumerate(scorers.values())))
+
+
+def within_cluster_scores(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
+    """(cluster_id, record_id, record_score, cluster_score): means over the pairs of a cluster.
+
+    ``scorers`` maps columns to (Column, Column) -> Column.
+    """
+    pairs = cluster_pairs(df, cluster_column, id_column, scorers)
+    mean = functools.reduce(operator.add, [F.col(f"s{i}") for i in range(len(scorers))]) / len(scorers)
     scored = pairs.select("cluster_id", F.explode(F.array("id", "id2")).alias("record_id"), mean.alias("s"))
     record = scored.groupBy("cluster_id", "record_id").agg(F.avg("s").alias("record_score"), F.sum("s").alias("t"), F.count("*").alias("k"))
     cluster = record.groupBy("cluster_id").agg((F.sum("t") / F.sum("k")).alias("cluster_score"))
     return record.join(cluster, "cluster_id").select("cluster_id", "record_id", "record_score", "cluster_score").orderBy("cluster_id", "record_id")
 
 
+def field_scores(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
+    """(cluster_id, field, mean_score): each field's mean over the pairs of a cluster."""
+    pairs = cluster_pairs(df, cluster_column, id_column, scorers)
+    means = pairs.groupBy("cluster_id").agg(*(F.avg(f"s{i}").alias(f"m{i}") for i in range(len(scorers))))
+    each = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"m{i}").alias("mean_score")) for i, c in enumerate(scorers)))
+    return means.select("cluster_id", F.inline(each)).orderBy("cluster_id", "field")
+
+
+def ranked_pairs(pairs: DataFrame, threshold: float, score: str = "score") -> DataFrame:
+    """``pairs`` whose score reaches the calibrated threshold, best first, with all their columns."""
+    return pairs.filter(F.col(score) >= threshold).orderBy(F.desc(score), *(c for c in pairs.columns if c not in (score, "column_scores")))
+
+
+def pair_quality_summary(pairs: DataFrame, block: str = "block_value", score: str = "score", high: float = 0.9, medium: float = 0.7) -> DataFrame:
+    """(measure, name, value): pairs at each level of confidence and of each block."""
+    level = F.when(F.col(score) >= high, "high").when(F.col(score) >= medium, "medium").otherwise("low")
+    count = lambda measure, c: pairs.groupBy(c.cast("string").alias("name")).agg(F.count("*").alias("value")).select(F.lit(measure).alias("measure"), "name", "value")
+    return count("confidence", level).unionByName(count("block", F.col(block))).orderBy("measure", "name")
+
+
 def flagged_clusters(scores: DataFrame, low: float = 0.8) -> DataFrame:
     """Clusters above the mean size whose score is below ``low``."""
     size = scores.groupBy("cluster_id").agg(F.count("*").alias("size"), F.first("cluster_score").alias("cluster_score"))
@@ -163,13 +201,25 @@ def calibrate_threshold(labelled: DataFrame, score: str = "score", label: str =
     return labelled.agg(yes.alias("lowest_yes"), no.alias("highest_no")).withColumn("threshold", F.coalesce((F.col("lowest_yes") + F.col("highest_no")) / 2, F.lit(default)))
 
 
-def sanity_checks(df: DataFrame, cluster_column: str, id_column: str) -> DataFrame:
-    """(check, failures): blank and repeated ids, blank clusters, ids in several clusters, single-row clusters."""
-    rows = df.select(text(df, id_column).alias("id"), text(df, cluster_column).alias("c"))
-    one = rows.agg(F.sum((F.col("id") == "").cast("long")).alias("blank_id"), F.sum((F.col("c") == "").cast("long")).alias("blank_cluster"))
-    ids = rows.filter("id <> ''").groupBy("id", "c").count().groupBy("id").agg(F.sum("count").alias("n"), F.count("*").alias("k"))
-    two = ids.agg(F.sum((F.col("n") > 1).cast("long")).alias("repeated_id"), F.sum((F.col("k") > 1).cast("long")).alias("id_in_several_clusters"))
-    three = rows.filter("c <> ''").groupBy("c").count().agg(F.sum((F.col("count") == 1).cast("long")).alias("single_row_cluster"))
-    wide = one.join(F.broadcast(two)).join(F.broadcast(three))  # a row each
-    names = ["blank_id", "repeated_id", "blank_cluster", "id_in_several_clusters", "single_row_cluster"]
-    return wide.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(0)).alias("failures")) for n in names))))
+def sanity_checks(cluster_scores: DataFrame, fields: DataFrame | None = None, pairs: DataFrame | None = None, low: float = 0.8, threshold: float = 0.7) -> DataFrame:
+    """(check, value, triggered): signs that a review as a whole went wrong.
+
+    From (cluster_id, cluster_score): the share of clusters below ``low`` above
+    0.9, the greatest score at most 0.05, the least at least 0.95. From
+    (field, mean_score): a field whose mean is 0.3 or more below that of the
+    others. From unclustered ``pairs`` with a score: more than half of them at
+    ``threshold`` or above. Without rows a check is not triggered.
+    """
+    each = cluster_scores.select("cluster_id", "cluster_score").distinct()
+    share = lambda c: F.avg(c.cast("double"))
+    top = each.agg(share(F.col("cluster_score") < low).alias("a"), F.max("cluster_score").alias("b"), F.min("cluster_score").alias("c"))
+    rows = lambda df, *checks: df.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.col(v).alias("value"), F.coalesce(t, F.lit(False)).alias("triggered")) for n, v, t in checks))))
+    out = rows(top, ("most_clusters_flagged", "a", F.col("a") > 0.9), ("scores_near_zero", "b", F.col("b") <= 0.05), ("scores_near_one", "c", F.col("c") >= 0.95))
+    if fields is not None:
+        means = fields.groupBy("field").agg(F.avg("mean_score").alias("m"))
+        gap = means.agg(F.min("m").alias("low"), F.sum("m").alias("sum"), F.count("*").alias("n"))
+        gap = gap.select(F.when(F.col("n") > 1, (F.col("sum") - F.col("low")) / (F.col("n") - 1) - F.col("low")).alias("d"))
+        out = out.unionByName(rows(gap, ("low_field", "d", F.col("d") >= 0.3)))
+    if pairs is not None:
+        out = out.unionByName(rows(pairs.agg(share(F.col("score") >= threshold).alias("p")), ("most_pairs_match", "p", F.col("p") > 0.5)))
+    return out

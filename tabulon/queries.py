@@ -270,11 +270,64 @@ def within_cluster_scores(spark, sf):
     return df.withColumn("record_score", F.round("record_score", 4)).withColumn("cluster_score", F.round("cluster_score", 4))
 
 
-@query("""SELECT 'blank_id' AS "check", 0::BIGINT AS failures UNION ALL SELECT 'repeated_id', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'blank_cluster', 0
- UNION ALL SELECT 'id_in_several_clusters', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1)
- UNION ALL SELECT 'single_row_cluster', count(*) FROM (SELECT o_orderpriority FROM orders GROUP BY 1 HAVING count(*) = 1)""")
+SIZED = """p AS (SELECT p_brand AS c, CAST(p_partkey AS VARCHAR) AS id, CAST(p_size AS VARCHAR) AS v, p_type AS t FROM part WHERE p_partkey % 10 < 5),
+ s AS (SELECT l.c, (l.v = r.v)::DOUBLE AS s0, (l.t = r.t)::DOUBLE AS s1 FROM p l JOIN p r ON l.c = r.c AND l.id < r.id)"""
+
+
+def half_of_parts(spark, sf):
+    return table(spark, sf, "part").filter("p_partkey % 10 < 5"), "p_brand", "p_partkey", {"p_size": review.exact, "p_type": review.exact}
+
+
+@query(f"""WITH {SIZED} SELECT c AS cluster_id, 'p_size' AS field, round(avg(s0), 4) AS mean_score FROM s GROUP BY 1
+ UNION ALL SELECT c, 'p_type', round(avg(s1), 4) FROM s GROUP BY 1""")
+def field_scores(spark, sf):
+    return review.field_scores(*half_of_parts(spark, sf)).withColumn("mean_score", F.round("mean_score", 4))
+
+
+@query(f"""WITH {SIZED}, c AS (SELECT c, avg((s0 + s1) / 2) AS x FROM s GROUP BY 1), f AS (SELECT avg(x) AS m FROM (SELECT avg(s0) x, c FROM s GROUP BY c) UNION ALL SELECT avg(x) FROM (SELECT avg(s1) x, c FROM s GROUP BY c)),
+ r AS (SELECT 'most_clusters_flagged' AS n, avg((x < 0.8)::DOUBLE) AS v, avg((x < 0.8)::DOUBLE) > 0.9 AS t FROM c UNION ALL SELECT 'scores_near_zero', max(x), max(x) <= 0.05 FROM c
+  UNION ALL SELECT 'scores_near_one', min(x), min(x) >= 0.95 FROM c UNION ALL SELECT 'low_field', max(m) - min(m), max(m) - min(m) >= 0.3 FROM f
+  UNION ALL SELECT 'most_pairs_match', avg((s0 >= 0.7)::DOUBLE), avg((s0 >= 0.7)::DOUBLE) > 0.5 FROM s)
+ SELECT n AS "check", round(v, 4) AS value, t AS triggered FROM r""")
 def sanity_checks(spark, sf):
-    return review.sanity_checks(table(spark, sf, "orders"), "o_orderpriority", "o_custkey")
+    given = half_of_parts(spark, sf)
+    pairs = review.cluster_pairs(*given).select(F.col("s0").alias("score"))
+    found = review.sanity_checks(review.within_cluster_scores(*given), review.field_scores(*given), pairs)
+    return found.withColumn("value", F.round("value", 4))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, o_orderpriority AS block_value, CAST(o_orderkey % 100 AS DOUBLE) / 100 AS score FROM orders)
+ SELECT 'confidence' AS measure, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS name, count(*) AS value FROM s GROUP BY 2
+ UNION ALL SELECT 'block', block_value, count(*) FROM s GROUP BY 2""")
+def pair_quality_summary(spark, sf):
+    df = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("block_value"), (F.col("o_orderkey") % 100 / 100).alias("score"))
+    return review.pair_quality_summary(df)
+
+
+LOCAL = "CASE WHEN d IN ('gmail.com', 'googlemail.com') THEN replace(l, '.', '') ELSE l END"
+EMAILS = f"""e AS (SELECT c_custkey AS k, 'a.' || lower(c_mktsegment) AS l1, CASE c_custkey % 3 WHEN 0 THEN 'gmail.com' WHEN 1 THEN 'x.org' ELSE 'y.org' END AS d1,
+  'a' || lower(c_mktsegment) || c_custkey % 7 AS l2, CASE c_custkey % 2 WHEN 0 THEN 'gmail.com' ELSE 'x.org' END AS d2 FROM customer),
+ n AS (SELECT k, {LOCAL.replace("d IN", "d1 IN").replace("(l,", "(l1,").replace("ELSE l ", "ELSE l1 ")} AS l1, d1, {LOCAL.replace("d IN", "d2 IN").replace("(l,", "(l2,").replace("ELSE l ", "ELSE l2 ")} AS l2, d2 FROM e),
+ r AS (SELECT k, d1 = d2 AS same, 1 - levenshtein(l1, l2) / greatest(length(l1), length(l2)) AS x FROM n)"""
+
+
+@query(f"""WITH {EMAILS} SELECT k AS c_custkey, round(CASE WHEN same THEN 0.5 + 0.5 * x ELSE least(0.5, 0.5 * x) END, 4) AS score FROM r""")
+def email_composite(spark, sf):
+    k, seg = F.col("c_custkey"), F.lower("c_mktsegment")
+    one = F.concat(F.lit(" mailto:A."), seg, F.lit("@"), F.when(k % 3 == 0, "gmail.com").when(k % 3 == 1, "x.org").otherwise("Y.org"))
+    two = F.concat(F.lit("a"), seg, (k % 7).cast("string"), F.lit("@"), F.when(k % 2 == 0, "gmail.com").otherwise("x.org"))
+    return table(spark, sf, "customer").select("c_custkey", F.round(review.email_composite(one, two), 4).alias("score"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '' END || regexp_replace(CAST(CAST(s_acctbal AS DECIMAL(20,2)) AS VARCHAR), '[^0-9]', '', 'g') AS phone,
+ 'north main street ' || s_suppkey AS address, 'first ' || lower(replace(s_name, '#', ' ')) AS person, 'smith and sons ' || s_nationkey AS company FROM supplier""")
+def normalizers(spark, sf):
+    k, plus = F.col("s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, "(+").otherwise("(")
+    return table(spark, sf, "supplier").select(
+        "s_suppkey", review.phone(F.concat(plus, F.col("s_acctbal").cast("decimal(20,2)").cast("string"), F.lit(") x"))).alias("phone"),
+        review.address(F.concat(F.lit("N. Main St, "), k.cast("string"))).alias("address"), review.person(F.concat("s_name", F.lit(", Dr. First"))).alias("person"),
+        review.company(F.concat(F.lit("Smith & Sons "), F.col("s_nationkey").cast("string"), F.lit(" Ltd."))).alias("company"),
+    )
 
 
 @query("""WITH s AS (SELECT l_tax AS score, CASE WHEN l_quantity > 25 THEN 'yes' ELSE 'no' END AS label FROM lineitem)
