@@ -38,11 +38,13 @@ def remainder(column: str, mod: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    Only where the session has none (tests on one machine) is one made.
+    Only where the session has none and all is one local process is one made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not own.isDefined() and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         folder = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
