@@ -1 +1,3 @@
 """Tabulon: review of tabular entity data, and training-data operators, on Spark."""
+
+__version__ = "0.2.0"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import json
 import tomllib
@@ -41,6 +42,21 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"Missing required column(s): {', '.join(missing)}")
 
 
+def charset(spark: SparkSession, encoding: str) -> str:
+    """Spark's name of an encoding that Python knows.
+
+    Beyond its short list Spark takes any name that Java knows, if the session says so.
+    """
+    try:
+        name = codecs.lookup(encoding).name
+    except LookupError as e:
+        raise ValueError(f"Unknown encoding: {encoding}") from e
+    name = {"iso8859-1": "iso-8859-1", "ascii": "us-ascii", "utf-8-sig": "utf-8"}.get(name, name.replace("_", "-"))
+    if not name.startswith(("iso-8859-1", "us-ascii", "utf-")):
+        spark.conf.set("spark.sql.legacy.javaCharsets", True)
+    return name
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",", multiline: bool = True) -> DataFrame:
     """Header required, values untouched; short rows are filled with empty text.
 
@@ -48,7 +64,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter:
     task; without it files are split, which large inputs need.
     """
     reader = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline)
-    df = reader.option("quote", '"').option("escape", '"').option("encoding", encoding).option("sep", delimiter).csv(path)
+    df = reader.option("quote", '"').option("escape", '"').option("encoding", charset(spark, encoding)).option("sep", delimiter).csv(path)
     return df.fillna("")
 
 
@@ -70,11 +86,14 @@ def from_pandas(spark: SparkSession, frame) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
 
 
-def read_table(spark: SparkSession, path: str, format: str | None = None, encoding: str = "utf-8", delimiter: str = ",", sheet_name: str | int = 0) -> DataFrame:
-    """Any supported file; Parquet keeps its types until a column is used."""
+def read_table(spark: SparkSession, path: str, format: str | None = None, encoding: str = "utf-8", delimiter: str = ",", sheet_name: str | int = 0, multiline: bool = True) -> DataFrame:
+    """Any supported file; Parquet keeps its types until a column is used.
+
+    ``multiline=False`` lets large CSV files be split, where no cell holds a line break.
+    """
     kind = resolve_format(path, format)
     if kind in ("csv", "tsv"):
-        return read_csv(spark, path, encoding, resolve_delimiter(kind, delimiter))
+        return read_csv(spark, path, encoding, resolve_delimiter(kind, delimiter), multiline)
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "xlsx":
@@ -108,6 +127,11 @@ def chunks(rows: Iterable, size: int) -> Iterator[list]:
         yield part
 
 
+def scan_csv(spark: SparkSession, path: str, size: int, encoding: str = "utf-8", delimiter: str = ",", multiline: bool = True) -> Iterator[list[dict]]:
+    """Rows of a CSV file in lists of at most ``size``; the driver holds one partition at a time."""
+    return chunks(iter_rows(read_csv(spark, path, encoding, delimiter, multiline)), size)
+
+
 def load_recipe(path: str) -> dict:
     suffix = Path(path).suffix.lower()
     if suffix == ".json":

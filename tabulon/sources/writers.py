@@ -10,11 +10,12 @@ import csv
 import html
 import re
 import sys
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from contextlib import nullcontext
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -33,7 +34,10 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_rows(rows: Iterable[dict], path: str | None) -> None:
-    """A CSV file, or standard output; fields in the order in which they are first seen."""
+    """A CSV file, or standard output; fields in the order in which they are first seen.
+
+    For rows already on the driver; ``write_csv`` streams those of a DataFrame.
+    """
     rows = list(rows)
     names = list(dict.fromkeys(k for r in rows for k in r))
     if path is None:
@@ -49,20 +53,29 @@ def write_rows(rows: Iterable[dict], path: str | None) -> None:
         out.writerows(rows)
 
 
-def write_csv(df: DataFrame, path: str | None = None) -> int:
-    """All rows of a DataFrame into one CSV; how many."""
+def cell(value) -> str:
+    return "" if value is None else str(value)
+
+
+def write_csv(df: DataFrame, path: str | None = None, each: Callable[[Row], None] | None = None) -> int:
+    """All rows of a DataFrame into one CSV, or to standard output, where no rows print nothing; how many.
+
+    The driver holds one partition at a time; ``each`` sees every row on its way.
+    """
     df, n = flat(df), 0
-    if path is None:
-        rows = [r.asDict() for r in df.toLocalIterator()]
-        write_rows(rows, None)
-        return len(rows)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
+    if path is not None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with nullcontext(sys.stdout) if path is None else open(path, "w", newline="", encoding="utf-8") as f:
+        out = csv.writer(f, lineterminator="\n" if path is None else "\r\n")
+        if path is not None:
+            out.writerow(df.columns)
         for row in df.toLocalIterator(prefetchPartitions=True):
-            out.writerow(["" if v is None else v for v in row])
+            if path is None and n == 0:
+                out.writerow(df.columns)
+            out.writerow([cell(v) for v in row])
             n += 1
+            if each:
+                each(row)
     return n
 
 
@@ -72,25 +85,29 @@ def write_csv_folder(df: DataFrame, path: str) -> None:
 
 
 def html_report(sections: list[Section], folder: str, title: str = "Review report", preview: int | None = None) -> str:
-    """report.html with previews, and a CSV of each section in full."""
+    """report.html with previews, and a CSV of each section in full, in one pass over its rows."""
     if preview is not None and preview < 0:
         raise ValueError("preview row cap must be >= 0")
-    body = []
-    for s in sections:
-        total = write_csv(s.rows, str(Path(folder, s.csv_name)))
-        shown = [r.asDict() for r in flat(s.rows).limit(total if preview is None else preview).collect()]
-        cells = lambda tag, values: "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values)
-        table = "".join(f"<tr>{cells('td', r.values())}</tr>" for r in shown) if shown else ""
-        note = f"<p>Showing first {len(shown)} of {total} row(s)</p>" if len(shown) < total else ""
-        body.append(
-            f"<h2>{html.escape(s.title)}</h2><p>{html.escape(s.summary)}</p>{note}"
-            f'<p><a href="{html.escape(s.csv_name)}">{html.escape(s.csv_name)}</a></p>'
-            + (f"<table><tr>{cells('th', s.rows.columns)}</tr>{table}</table>" if shown else "<p>No rows</p>")
-        )
-    page = f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{"".join(body)}</body></html>'
     path = Path(folder, "report.html")
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(page, encoding="utf-8")
+    cells = lambda tag, values: "".join(f"<{tag}>{html.escape(cell(v))}</{tag}>" for v in values)
+    with open(path, "w", encoding="utf-8") as page:
+        page.write(f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>')
+        for s in sections:
+            link = html.escape(s.csv_name)
+            page.write(f'<h2>{html.escape(s.title)}</h2><p>{html.escape(s.summary)}</p><p><a href="{link}">{link}</a></p>')
+            shown = 0
+
+            def show(row: Row) -> None:
+                nonlocal shown
+                if preview is None or shown < preview:
+                    page.write(("" if shown else f"<table><tr>{cells('th', row.asDict())}</tr>") + f"<tr>{cells('td', row)}</tr>")
+                    shown += 1
+
+            total = write_csv(s.rows, str(Path(folder, s.csv_name)), show)
+            page.write("</table>" if shown else "" if total else "<p>No rows</p>")
+            page.write(f"<p>Showing first {shown} of {total} row(s)</p>" if shown < total else "")
+        page.write("</body></html>")
     return str(path)
 
 
@@ -115,17 +132,19 @@ def workbook(sections: list[Section], path: str, cap: int | None = None) -> str:
     top.title = "Summary"
     top.append(["Section", "Rows", "Summary", "Exported Rows", "Capped"] if cap is not None else ["Section", "Rows", "Summary"])
     for s in sections:
-        total = s.rows.count()
-        rows = flat(s.rows).limit(total if cap is None else cap).collect()
-        sheet = book.create_sheet(sheet_name(s.title, taken))
-        if rows:
-            sheet.append(s.rows.columns)
-            for r in rows:
-                sheet.append(list(r))
+        sheet, total, kept = book.create_sheet(sheet_name(s.title, taken)), 0, 0
+        for row in flat(s.rows).toLocalIterator(prefetchPartitions=True):
+            total += 1
+            if cap is None or kept < cap:
+                if not kept:
+                    sheet.append(s.rows.columns)
+                sheet.append(list(row))
+                kept += 1
+        if kept:
             sheet.freeze_panes, sheet.auto_filter.ref = "A2", sheet.dimensions
         else:
             sheet.append(["No rows"])
-        top.append([s.title, total, s.summary, *([len(rows), "yes" if len(rows) < total else "no"] if cap is not None else [])])
+        top.append([s.title, total, s.summary, *([kept, "yes" if kept < total else "no"] if cap is not None else [])])
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     book.save(path)
     return path

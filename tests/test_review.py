@@ -1,4 +1,6 @@
+import csv
 import difflib
+import hashlib
 
 import pandas as pd
 import pytest
@@ -212,13 +214,69 @@ def test_cli_and_report(spark, tmp_path, capsys):
     assert cli.main(["hygiene", str(data)], spark) == 0
     recipe = tmp_path / "r.toml"
     recipe.write_text(
-        f'input = "{data}"\nout_dir = "{tmp_path}/out"\ncluster = "cluster"\nmatch_columns = ["score"]\nredact = ["name"]\nlarge_cluster_size = 2\npreview_rows = 1\n'
+        f'input = "{data}"\nout_dir = "{tmp_path}/out"\ncluster = "cluster"\nmatch_columns = ["score"]\nredact = ["name"]\nlarge_cluster_size = 2\nmax_output_rows = 1\n'
         '[[mappings]]\nleft = "cluster"\nright = "id"\n[duplicates]\nblock = "cluster"\nmatch = ["name"]\nid = "id"\nthreshold = 0.9\n'
     )
     assert cli.main(["report", "--config", str(recipe)], spark) == 0
     page = (tmp_path / "out/report.html").read_text()
     assert "Showing first 1 of" in page and "Ann" not in page and "large_cluster" in (tmp_path / "out/clusters.csv").read_text()
-    assert (tmp_path / "out/cluster_scores.svg").exists() and "1,2" in (tmp_path / "out/duplicates.csv").read_text()
+    assert (tmp_path / "out/match_score_distribution.svg").exists() and "1,2" in (tmp_path / "out/duplicate_candidates.csv").read_text()
+
+
+def test_cli_options(spark, tmp_path, capsys):
+    def run(code, *args):
+        assert cli.main([str(a) for a in args], spark) == code
+
+    def rows(name):
+        with open(tmp_path / name, newline="") as f:
+            return list(csv.reader(f))
+
+    data, other, out = tmp_path / "d.csv", tmp_path / "e.tsv", tmp_path / "o.csv"
+    data.write_text("id,cluster,score,name,copy\n1,c1,0.9,Ann,Ann\n2,c1,0.7,Ann,Ann\n3,c2,0.8,Bob,Bob\n")
+    other.write_bytes("id\tcluster\n1\tc1\n2\tc2\n3\tc2\n4\té\n".encode("latin-1"))
+    run(0, "pair-profile", data, "--out", out, "--identical-out", tmp_path / "same.csv", "--single-line")
+    assert rows("same.csv") == [["left_column", "right_column", "compared_rows"], ["name", "copy", "3"]]
+    assert rows("o.csv")[0] == ["column", "value", "count", "total_rows", "ratio"] and ["name", "Ann", "2", "3", "0.6667"] in rows("o.csv")
+    run(0, "clusters", data, "--cluster", "cluster", "--match-column", "score", "--chart-out", tmp_path / "c.svg", "--out", out)
+    assert "c1" in (tmp_path / "c.svg").read_text() and rows("o.csv")[1][:2] == ["c1", "2"]
+    run(1, "compare", data, other, "--new-encoding", "latin-1", "--new-format", "tsv", "--id", "cluster", "--member", "id", "--narrative", "--out", out)
+    assert [r[:2] for r in rows("o.csv")[1:]] == [
+        ["c1", "member_count_changed"], ["c2", "member_count_changed"], ["é", "added"], ["2", "member_reassigned"], ["c1", "split"], ["c2", "merged"],
+    ]
+    run(0, "lookup", data, "--id", "id", "--value", "1", "--cluster", "cluster", "--redact", "name,copy", "--out", out)
+    assert [r[3] for r in rows("o.csv")] == ["name", "[redacted]", "[redacted]"] and rows("o.csv")[1][-1] == "c1"
+    run(0, "lookup", data, "--id", "id", "--value", "1", "--cluster", "cluster", "--redact", "cluster", "--redact-mode", "hash", "--out", out)
+    assert rows("o.csv")[1][-1] == rows("o.csv")[1][1] == hashlib.sha256(b"c1").hexdigest()[:16]
+    listed = tmp_path / "p.csv"
+    listed.write_text("left_entity_id;right_entity_id\nc1;c2\n")
+    run(0, "similarity", data, listed, "--pairs-delimiter", ";", "--cluster", "cluster", "--compare", "name,copy", "--out", out)
+    assert rows("o.csv")[1][:3] == ["c1", "c2", "0.0"]
+    run(0, "report", data, "--out-dir", tmp_path / "r", "--cluster", "cluster", "--duplicate-block", "cluster", "--duplicate-match", "name", "--duplicate-max-block-size", "5",
+        "--duplicate-sample-rate", "1", "--duplicate-workers", "2", "--duplicate-oversized-block-behavior", "warn", "--max-output-rows", "2", "--mapping", "cluster:id")
+    assert rows("r/mapping_cluster_to_id.csv")[1][0] == "c1" and len(rows("r/duplicate_candidates.csv")) == 2
+    assert "Showing first 2 of 5" in (tmp_path / "r/report.html").read_text() and len(rows("r/profile.csv")) == 6
+    run(2, "report", data, "--out-dir", tmp_path / "q", "--duplicate-block", "cluster", "--duplicate-match", "name", "--duplicate-max-block-size", "1")
+    for bad in (["profile", "a", "--format", "doc"], ["duplicates", "a", "--block", "b", "--match", "m", "--scorer", "x"], ["none"]):
+        with pytest.raises(SystemExit) as e:
+            cli.main(bad, spark)
+        assert e.value.code == 2
+    with pytest.raises(SystemExit) as e:
+        cli.main(["--version"], spark)
+    assert e.value.code == 0 and "tabulon" in capsys.readouterr().out
+
+
+def test_encodings(spark, tmp_path):
+    for name in ("latin-1", "cp1252", "utf-16", "utf8", "utf-8-sig", "iso8859-15"):
+        (tmp_path / "a.csv").write_text("id,name\n1,é\n", encoding=name)
+        assert [tuple(r) for r in readers.read_csv(spark, str(tmp_path / "a.csv"), name).collect()] == [("1", "é")], name
+    with pytest.raises(ValueError, match="Unknown encoding"):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), "none")
+
+
+def test_scan_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,x\n" + "".join(f"{i},v\n" for i in range(5)))
+    parts = list(readers.scan_csv(spark, str(tmp_path / "a.csv"), 2))
+    assert [len(p) for p in parts] == [2, 2, 1] and parts[2] == [{"id": "4", "x": "v"}]
 
 
 def test_sheet_names():
