@@ -99,11 +99,16 @@ def search_exact(
     A component x becomes floor(scale * x), x as a double. ``is_query`` is a
     condition on the column ``id``. Ties go to the smaller id; a query is never
     its own answer; an empty table gives an empty result. A zero vector takes
-    part and scores 0.
+    part and scores 0. Of repeated rows one counts, and columns of other names
+    have no effect. Vectors so long that a score might not fit 64 bits raise
+    ValueError.
     """
     rows = clean(vectors, id_column, vector_column, drop_zero=False)
     rows = rows.select("id", F.transform("v", lambda x: F.floor(x * F.lit(scale)).cast("double")).alias("v"))
-    n, n_queries, dims = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v"))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    n, n_queries, dims, most = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v")), F.max(square)).first()
+    if (most or 0) >= 2.0**62:
+        raise ValueError("Vectors are too long for scores of 64 bits; use a smaller scale.")
     dims = max(1, dims or 1)
     turn = np.linalg.eigh(second_moment(rows, dims))[1][:, ::-1].copy()
     schema = "query_id long, vec_id long, score long"
