@@ -45,7 +45,7 @@ def test_forest_against_brute_force(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (920, [0.0] * 16), (940, [None] * 16), (960, [float("nan")] * 16), (None, [1.0] * 16), (3, x[3].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     x = x.astype(np.float32).astype(float)
-    got = ann_forest.search_forest(df, F.col("id") % 20 == 0, k=7, least=64, share=0.3).collect()
+    got = ann_forest.search_forest(df, F.col("id") % 20 == 0, k=7).collect()
     by = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
@@ -67,7 +67,7 @@ def test_forest_recall_with_copies_and_uneven_norms(spark, copies):
     x = (rng.standard_normal((4000, 32)) * rng.exponential(1, (4000, 1))).astype(np.float32).astype(float)
     x[4000 - copies :] = x[-1]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = ann_forest.search_forest(df, F.col("id") % 100 == 0, k=10, least=64, share=0.5).collect()
+    got = ann_forest.search_forest(df, F.col("id") % 100 == 0, k=10).collect()
     hits = 0
     for i in range(0, 4000, 100):
         s = x @ x[i]
@@ -79,6 +79,41 @@ def test_forest_recall_with_copies_and_uneven_norms(spark, copies):
     assert hits >= 0.9 * 10 * 40
 
 
+@pytest.mark.parametrize("rows", [300, 3000, 16384])
+def test_forest_recall_at_the_query_s_parameters(rows):
+    """Directionless unit vectors, the hardest case: at most the share is examined, at every size."""
+    x = np.random.default_rng(4).standard_normal((rows, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits, seen, q = 0, 0, x[:40]
+    for j, at in ann_forest.Forests(x, 128, 11).candidates(q, 0.35, 80):
+        s = x @ q[j]
+        s[j] = -np.inf
+        hits += np.isin(np.argsort(-s)[:20], at).sum()
+        seen += len(at)
+        assert len(set(at.tolist())) == len(at)
+    assert hits >= 0.9 * 20 * 40 and seen <= 40 * max(80, np.ceil(0.35 * rows))
+
+
+@pytest.mark.parametrize("scale", [1e-30, 1.0, 3e37, 1e140])
+def test_forest_at_any_scale_with_clashing_columns(spark, scale):
+    x = np.random.default_rng(8).standard_normal((400, 200)) * scale
+    rows = [(i, v.tolist(), "no", 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<double>, Embedding string, id int")
+    got = ann_forest.search_forest(df, F.col("id") % 20 == 0, k=5).collect()
+    best = [r for r in got if r["rank"] == 1]
+    assert len(got) == 100 and len({(r["query_id"], r["vec_id"]) for r in got}) == 100
+    true = {i: max((float(np.dot(x[j], x[i])), -j) for j in range(400) if j != i) for i in range(0, 400, 20)}
+    assert sum(r["vec_id"] == -true[r["query_id"]][1] for r in best) >= 18
+
+
+def test_exact_topk_of_repeated_rows_clashing_columns_and_long_vectors(spark):
+    rows = [(0, [1.0, 0.0], "a", 1.5), (0, [1.0, 0.0], "b", 1.5), (1, [0.5, 9.0], "c", 0.0), (2, [0.5, 1.0], "d", 0.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, Vec_Id string, score double")
+    assert [tuple(r) for r in topk.search_exact(df, F.col("id") % 50 == 0).collect()] == [(0, 1, 1, 32768), (0, 2, 2, 32768)]
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.search_exact(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>"), F.col("id") % 50 == 0)
+
+
 def test_exact_topk_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((500, 12)) * rng.exponential(1, (500, 1))
