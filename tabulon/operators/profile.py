@@ -29,6 +29,16 @@ def frequencies(df: DataFrame, columns: list[str] | None = None, order_by: str |
     return long.groupBy("column", "value").agg(F.count("*").alias("n"), F.min(POSITION).alias("first_pos"))
 
 
+def leading(rows: DataFrame, k: int, order: list, *by: str) -> DataFrame:
+    """The first ``k`` rows of each group, with their ``place``.
+
+    The limit is on the rank itself, so each task sends at most ``k`` rows of a
+    group on, and no task sorts all the values of a column.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def profile_columns(
     df: DataFrame, columns: list[str] | None = None, dummy_values: tuple | None = None, top_n: int = 10, order_by: str | None = None, exact: bool = True
 ) -> DataFrame:
@@ -52,27 +62,25 @@ def profile_columns(
     fraction = F.col("column").isin([c for c in names if isinstance(df.schema[c].dataType, T.DoubleType | T.FloatType)])
     parsed = parsed.withColumn("x", F.when(F.col("real"), F.when(numeric, v.try_cast("double")).otherwise(number_of(v))))
     parsed = parsed.withColumn("d", F.when(F.col("real") & ~fraction, moment_of(v)))
-    by = Window.partitionBy("column")
-    ranked = parsed.withColumn("top", F.row_number().over(by.orderBy(F.desc("n"), "first_pos")))
     real, x, d = F.col("real"), F.col("x"), F.col("d")
     count = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
     quartile = (lambda: F.percentile(x, [0.25, 0.5, 0.75], n)) if exact else (lambda: F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000))
-    for kind, ok in (("x", x), ("d", d)):
-        bad = real & ok.isNull()
-        order = Window.partitionBy("column", bad).orderBy("first_pos")
-        ranked = ranked.withColumn(f"bad_{kind}", F.when(bad, F.row_number().over(order)))
-    examples = lambda kind: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col(f"bad_{kind}") <= 3, F.struct("first_pos", "value")))), lambda s: s["value"]
-    )
-    one = ranked.groupBy("column").agg(
+    listed = lambda rows, name, *fields: rows.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias(name))
+    tops = listed(leading(freq, top_n, [F.desc("n"), "first_pos"], "column"), "tops", "value", "n")
+    bad = [
+        listed(leading(parsed.filter(real & ok.isNull() & may), 3, ["first_pos"], "column"), name, "value")
+        for name, ok, may in (("bad_numbers", x, F.lit(True)), ("bad_moments", d, ~fraction))
+    ]
+    one = parsed.groupBy("column").agg(
         F.sum("n").alias("total_rows"), count(~F.col("filled")).alias("blank_count"), count(F.col("dummy")).alias("null_like_count"),
         F.count("*").alias("unique_count"), count(real).alias("meaningful"), count(x.isNotNull()).alias("numbers"),
         count(d.isNotNull()).alias("moments"), count(real & marked_currency(v)).alias("marks"),
         F.sum(F.when(real, 1).otherwise(0)).alias("kinds"),
-        F.array_sort(F.collect_list(F.when(F.col("top") <= top_n, F.struct("top", "value", "n")))).alias("tops"),
         F.min(x).alias("min_x"), F.max(x).alias("max_x"), quartile().alias("q"), F.min(d).alias("min_d"), F.max(d).alias("max_d"),
-        examples("x").alias("bad_numbers"), examples("d").alias("bad_moments"),
     )
+    for more in (tops, *bad):  # one row a column each
+        one = one.join(more, "column", "left")
+    examples = lambda c: F.coalesce(F.transform(c, lambda s: s["value"]), F.array().cast("array<string>"))
     total, filled = F.col("total_rows"), F.col("total_rows") - F.col("blank_count")
     name = F.lower("column")
     is_id = (name.contains("id") | name.endswith("_key")) & (filled > 0) & (F.col("unique_count") == filled) & (total > 1)
@@ -91,13 +99,13 @@ def profile_columns(
     return one.orderBy(place).select(
         "column", "total_rows", "blank_count", "null_like_count", "unique_count",
         rounded(F.col("unique_count") / total).alias("unique_ratio"),
-        F.transform("tops", lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"))).alias("top_values"),
+        F.transform(F.coalesce("tops", F.array().cast("array<struct<place:int,value:string,n:bigint>>")), lambda s: F.struct(s["value"].alias("value"), s["n"].alias("n"))).alias("top_values"),
         is_id.alias("likely_unique_id"), F.when(is_id, "identifier").otherwise(typed).alias("inferred_type"),
         rate("numbers").alias("numeric_parse_rate"), rate("moments").alias("datetime_parse_rate"),
         (numeric & currency).alias("currency_like"),
         edge(F.col("min_x"), F.col("min_d")).alias("min_value"), edge(F.col("max_x"), F.col("max_d")).alias("max_value"),
         only(F.col("q")[0]).alias("q1"), only(F.col("q")[1]).alias("median"), only(F.col("q")[2]).alias("q3"),
-        F.when(numeric, F.col("bad_numbers")).when(moment, F.col("bad_moments")).otherwise(F.array().cast("array<string>")).alias("invalid_examples"),
+        F.when(numeric, examples("bad_numbers")).when(moment, examples("bad_moments")).otherwise(F.array().cast("array<string>")).alias("invalid_examples"),
     )
 
 

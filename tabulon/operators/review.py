@@ -5,13 +5,13 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import float_of, fold, moment_of, rounded, strip, text, tokens
 from ..sources.readers import require_columns
 from .duplicates import levenshtein
-from .profile import frequencies
+from .profile import frequencies, leading
 
 # Legal forms of companies, and short forms in addresses.
 COMPANY_FORMS = "inc incorporated corp corporation co company llc ltd limited plc gmbh ag sa srl bv nv pty lp llp".split()
@@ -69,13 +69,10 @@ def normalization_report(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     n, changed = F.col("n"), F.col("new") != F.col("value")
     failed = (F.col("new") == "") & (F.col("value") != "")
     kind = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))
-    best = F.row_number().over(Window.partitionBy("column", changed).orderBy("first_pos"))
-    at = at.withColumn("k", best)
-    sample = F.array_sort(F.collect_list(F.when(changed & (F.col("k") <= 3), F.struct("first_pos", "value", "new"))))
-    out = at.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.sum(F.when(changed, n).otherwise(0)).alias("changed"), F.sum(F.when(failed, n).otherwise(0)).alias("failed"), sample.alias("s")
-    )
-    pairs = F.transform("s", lambda s: F.struct(s["value"].alias("before"), s["new"].alias("after")))
+    out = at.groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.when(changed, n).otherwise(0)).alias("changed"), F.sum(F.when(failed, n).otherwise(0)).alias("failed"))
+    sample = F.array_sort(F.collect_list(F.struct("place", "value", "new"))).alias("s")
+    out = out.join(leading(at.filter(changed), 3, ["first_pos"], "column").groupBy("column").agg(sample), "column", "left")
+    pairs = F.transform(F.coalesce("s", F.array().cast("array<struct<place:int,value:string,new:string>>")), lambda s: F.struct(s["value"].alias("before"), s["new"].alias("after")))
     return out.select("column", kind[F.col("column")].alias("normalizer"), "rows", "changed", "failed", pairs.alias("samples")).orderBy("column")
 
 
@@ -86,14 +83,15 @@ def extended_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
     filled = v != ""
     forms = F.size(F.filter(tokens(fold(v)), lambda t: t.isin(COMPANY_FORMS))) > 0
     count = lambda c: F.sum(F.when(c, n).otherwise(0)).cast("long")
-    at = freq.withColumn("k", F.row_number().over(Window.partitionBy("column", filled).orderBy("first_pos")))
-    sample = F.transform(F.array_sort(F.collect_list(F.when(filled & (F.col("k") <= 5), F.struct("first_pos", "value")))), lambda s: s["value"])
+    first = leading(freq.filter(filled), 5, ["first_pos"], "column").groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("s"))
     length = F.when(filled, F.length(v))
-    return at.groupBy("column").agg(
+    out = freq.groupBy("column").agg(
         F.min(length).alias("min_length"), F.max(length).alias("max_length"),
         rounded(F.sum(length * n) / F.sum(F.when(filled, n))).alias("mean_length"), count(v.rlike("^0[0-9]")).alias("leading_zeros"),
-        count(filled & (n > 1)).alias("repeated_rows"), count(forms).alias("business_suffixes"), sample.alias("samples"),
-    ).orderBy("column")
+        count(filled & (n > 1)).alias("repeated_rows"), count(forms).alias("business_suffixes"),
+    )
+    samples = F.coalesce(F.transform("s", lambda s: s["value"]), F.array().cast("array<string>"))
+    return out.join(first, "column", "left").withColumn("samples", samples).drop("s").orderBy("column")
 
 
 def validate_types(profile: DataFrame, expected: dict[str, str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import clusters, compare, duplicates, histogram, lookup, mappings, pairs, profile, redaction, review, similarity
+from .sources import hygiene
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +99,27 @@ def profile_datetime(spark, sf):
     return df.select("column", "inferred_type", "datetime_parse_rate", "min_value", "max_value")
 
 
+@query("""WITH m AS (SELECT *, CASE WHEN c_custkey % 5 = 0 THEN 'pending ' || c_custkey END AS bad FROM customer),
+ x AS (SELECT 'account_id' AS "column", c_custkey AS k, CAST(c_custkey AS VARCHAR) AS v, CAST(c_custkey AS DOUBLE) AS x, NULL AS d FROM m WHERE c_custkey <> 0 UNION ALL SELECT 'balance', c_custkey, bad, CASE WHEN bad IS NULL THEN round(c_acctbal, 2) END, NULL FROM m
+  UNION ALL SELECT 'opened', c_custkey, bad, NULL, CASE WHEN bad IS NULL THEN DATE '2024-01-31' + CAST(c_custkey % 400 AS INTEGER) END FROM m)
+ SELECT "column", CASE "column" WHEN 'account_id' THEN 'identifier' WHEN 'balance' THEN 'currency' ELSE 'datetime' END AS inferred_type, "column" = 'account_id' AS likely_unique_id, "column" = 'balance' AS currency_like,
+ round(count(x) / count(*), 4) AS numeric_parse_rate, CASE WHEN "column" = 'opened' THEN round(count(d) / count(*), 4) END AS datetime_parse_rate, min(x) AS low, max(x) AS high, strftime(min(d), '%Y-%m-%d') AS first_day, strftime(max(d), '%Y-%m-%d') AS last_day,
+ CASE WHEN "column" <> 'account_id' THEN array_to_string((list(v ORDER BY k) FILTER (v IS NOT NULL))[1:3], '|') ELSE '' END AS invalid_examples FROM x GROUP BY 1""")
+def profile_text_types(spark, sf):
+    """Amounts and days written as people write them, some of them not at all."""
+    bad = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("pending "), F.col("c_custkey").cast("string")))
+    amount, size = F.col("c_acctbal").cast("decimal(20,2)"), F.format_number(F.abs("c_acctbal"), 2)
+    money = F.when(amount < 0, F.concat(F.lit("($"), size, F.lit(")"))).otherwise(F.concat(F.lit("$"), size))
+    day = F.date_format(F.date_add(F.lit("2024-01-31").cast("date"), (F.col("c_custkey") % 400).cast("int")), "MM/dd/yyyy")
+    df = table(spark, sf, "customer").select(F.col("c_custkey").alias("_pos"), F.col("c_custkey").alias("account_id"), F.coalesce(bad, money).alias("balance"), F.coalesce(bad, day).alias("opened"))
+    p, moment = profile.profile_columns(df), F.col("column") == "opened"
+    number, text = (lambda c: F.when(~moment, F.col(c).cast("double"))), (lambda c: F.when(moment, F.col(c)))
+    return p.select(
+        "column", "inferred_type", "likely_unique_id", "currency_like", "numeric_parse_rate", text("datetime_parse_rate").alias("datetime_parse_rate"), number("min_value").alias("low"),
+        number("max_value").alias("high"), text("min_value").alias("first_day"), text("max_value").alias("last_day"), F.array_join("invalid_examples", "|").alias("invalid_examples"),
+    )
+
+
 @query("""WITH long AS (SELECT 'p_brand' AS "column", p_brand AS v, p_partkey AS p FROM part UNION ALL SELECT 'p_name', p_name, p_partkey FROM part UNION ALL SELECT 'p_half', CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'b' END, p_partkey FROM part),
  f AS (SELECT "column", v, count(*) n, min(p) p FROM long GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY "column") t, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, p) k FROM f)
  SELECT "column", v AS value, n AS count, CAST(t AS BIGINT) AS total_rows, round(n / t, 4) AS ratio FROM r WHERE k = 1 AND n / t >= 0.02""")
@@ -140,7 +162,16 @@ def duplicates_difflib(spark, sf):
     return part_duplicates(spark, sf, "difflib", 0.85)
 
 
-@query()
+def fraction(*parts):
+    return f"CAST('0x' || substr(md5(concat_ws(chr(31), {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id, p_brand || ' ' || p_type AS block, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS x FROM part),
+ n AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY k) - 1 AS b FROM p), d AS (SELECT *, {fraction("block", "CAST(b AS VARCHAR)", "id")} AS draw FROM n),
+ r AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY block ORDER BY draw, b) <= 12),
+ s AS (SELECT l.block AS block_value, l.id AS left_id, r.id AS right_id, len(list_intersect(l.x, r.x)) / len(list_distinct(list_concat(l.x, r.x))) AS score
+  FROM r l JOIN r ON l.block = r.block AND l.b < r.b WHERE {fraction("l.block", "CAST(l.b AS VARCHAR)", "l.id", "CAST(r.b AS VARCHAR)", "r.id")} < 0.5)
+ SELECT block_value, left_id, right_id, round(score, 4) AS score FROM s WHERE score >= 0.5""")
 def duplicates_sampled(spark, sf):
     return part_duplicates(spark, sf, "jaccard", 0.5, sample_rate=0.5, max_block_size=12, oversized_block_behavior="sample")
 
@@ -250,6 +281,19 @@ def hygiene_text(spark, sf):
     )
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey // 100 AS f, 1 + row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS n FROM customer),
+ i AS (SELECT f, n, CASE k % 50 WHEN 3 THEN 'column_count' ELSE 'embedded_newline' END AS t, CASE k % 50 WHEN 3 THEN 'Expected 3 column(s), found 2.' ELSE 'Cell contains a line break.' END AS m FROM c WHERE k % 50 IN (3, 7) AND f % 4 > 0)
+ SELECT 'f' || c.f AS path, 3::BIGINT AS header_columns, count(*) AS data_rows, coalesce(any_value(t), 'ok') AS issue_type, coalesce(i.n, 0) AS line_number, coalesce(any_value(m), '') AS message
+ FROM c LEFT JOIN i ON c.f = i.f GROUP BY c.f, i.n""")
+def hygiene_files(spark, sf):
+    """A CSV file of each hundred customers; in three of four, some rows are short or hold a line break."""
+    k, f = F.col("c_custkey"), F.floor(F.col("c_custkey") / 100)
+    line = F.concat_ws(",", k.cast("string"), F.concat(F.lit('"'), "c_name", F.when((k % 50 == 7) & (f % 4 > 0), "\n").otherwise(""), F.lit('"')), F.when((k % 50 != 3) | (f % 4 == 0), F.col("c_mktsegment")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda x: x["line"])
+    files = table(spark, sf, "customer").groupBy(F.concat(F.lit("f"), f.cast("string")).alias("path")).agg(F.concat(F.lit("id,name,segment\n"), F.array_join(lines, "\n")).cast("binary").alias("content"))
+    return hygiene.analyze_contents(files).drop("encoding")
+
+
 @query("""SELECT p_name AS value, count(DISTINCT p_brand) AS cluster_count, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS clusters FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""")
 def cross_cluster_collisions(spark, sf):
     df = review.cross_cluster_collisions(table(spark, sf, "part"), "p_brand", "p_name")

@@ -41,8 +41,8 @@ def examine(content: bytes, encoding: str = "utf-8", delimiter: str = ",") -> tu
     return header, rows, issues + found
 
 
-def analyze(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",") -> DataFrame:
-    """A row for each issue of each file under ``path``; ``ok`` for a clean file."""
+def analyze_contents(files: DataFrame, encoding: str = "utf-8", delimiter: str = ",") -> DataFrame:
+    """A row for each issue of each (path, content); ``ok`` for a clean one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -52,7 +52,19 @@ def analyze(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter:
                 out += [(name, encoding, header, rows, *i) for i in issues or [("ok", 0, "")]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ISSUE.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ISSUE)
+    return files.select("path", "content").mapInPandas(run, ISSUE)
+
+
+def analyze(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",") -> DataFrame:
+    """A row for each issue of each file under ``path``."""
+    return analyze_contents(spark.read.format("binaryFile").load(path), encoding, delimiter)
+
+
+def report(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str = ",") -> dict:
+    """One file's findings as a dict with ``ok`` and its issues."""
+    rows = analyze(spark, path, encoding, delimiter).collect()
+    issues = [{k: r[k] for k in ("issue_type", "line_number", "message")} for r in rows if r["issue_type"] != "ok"]
+    return {"path": path, "encoding": encoding, "header_columns": rows[0]["header_columns"], "data_rows": rows[0]["data_rows"], "ok": not issues, "issues": issues}
 
 
 def strip_nul_bytes(path: str, out: str) -> int:

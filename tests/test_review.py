@@ -177,6 +177,22 @@ def test_hygiene(spark, tmp_path):
     assert hygiene.strip_nul_bytes(str(nul), str(tmp_path / "clean.csv")) == 2
     assert [r["issue_type"] for r in hygiene.analyze(spark, str(tmp_path / "clean.csv")).collect()] == ["ok"]
     assert hygiene.examine(b"a\n\xff\n")[2][0][:2] == ("encoding", 2)
+    found = hygiene.report(spark, str(bad))
+    assert (found["ok"], found["header_columns"], found["data_rows"], len(found["issues"])) == (False, 3, 4, 3)
+    assert hygiene.report(spark, str(tmp_path / "clean.csv"))["ok"]
+
+
+def test_profile_ranks_are_cut_before_the_shuffle(spark):
+    df = frame(spark, ["a", "b"], *[(f"v{i % 7}", f"x{i}") for i in range(50)])
+    plan = profile.profile_columns(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 3 * 2
+    row = profile.profile_columns(df, ["a"], top_n=3).first()
+    assert [tuple(t) for t in row["top_values"]] == [("v0", 8), ("v1", 7), ("v2", 7)] and row["invalid_examples"] == []
+    assert profile.profile_columns(df, ["a"], top_n=0).first()["top_values"] == []
+    one = review.extended_profile(df, ["b"]).first()
+    assert one["samples"] == [f"x{i}" for i in range(5)] and review.extended_profile(frame(spark, ["e"], ("",))).first()["samples"] == []
+    report_ = review.normalization_report(frame(spark, ["c"], ("ACME Inc",), ("acme",), ("",)), {"c": "company"}).first()
+    assert [tuple(s) for s in report_["samples"]] == [("ACME Inc", "acme")] and (report_["rows"], report_["changed"], report_["failed"]) == (3, 1, 0)
 
 
 def test_readers(spark, tmp_path):
