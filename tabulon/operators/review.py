@@ -135,14 +135,19 @@ def normalized_distance(a: Column, b: Column, low: Column, high: Column) -> Colu
     return F.coalesce(F.when(span == 0, 1.0).otherwise(1 - F.abs(x - y) / span), F.lit(0.0))
 
 
+#: Scorers that compare a form of each value for equality: the form is made once a row.
+FORMS = {exact: strip, exact_normalized: phone}
+
+
 def cluster_pairs(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
     """(cluster_id, id, id2, s0, s1, ...) of all pairs of a cluster's rows with different ids."""
     require_columns(df, cluster_column, id_column, *scorers)
-    rows = df.select(text(df, cluster_column).alias("cluster_id"), text(df, id_column).alias("id"), *(text(df, c).alias(f"v{i}") for i, c in enumerate(scorers)))
+    rows = df.select(text(df, cluster_column).alias("cluster_id"), text(df, id_column).alias("id"), *(FORMS.get(f, lambda v: v)(text(df, c)).alias(f"v{i}") for i, (c, f) in enumerate(scorers.items())))
     rows = rows.filter("cluster_id <> ''")
+    same = lambda a, b: (a == b).cast("double")
     other = rows.select("cluster_id", F.col("id").alias("id2"), *(F.col(f"v{i}").alias(f"w{i}") for i in range(len(scorers))))
     pairs = rows.join(other, "cluster_id").filter("id < id2")
-    return pairs.select("cluster_id", "id", "id2", *(f(F.col(f"v{i}"), F.col(f"w{i}")).alias(f"s{i}") for i, f in enumerate(scorers.values())))
+    return pairs.select("cluster_id", "id", "id2", *((same if f in FORMS else f)(F.col(f"v{i}"), F.col(f"w{i}")).alias(f"s{i}") for i, f in enumerate(scorers.values())))
 
 
 def within_cluster_scores(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
