@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_text, pick, spool
@@ -249,7 +250,25 @@ def numbered(docs: DataFrame) -> DataFrame:
     return spool(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Whole texts go to Python so many at once; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def find_groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> DataFrame:
+    """``groups`` with small batches; all of its Python runs before it returns."""
+    with small_batches(docs.sparkSession):
+        return groups(docs, k, percent, bands)
+
+
+def groups(docs: DataFrame, k: int, percent: int, bands: int | None) -> DataFrame:
     """(row, doc_id, n_shingles, lead) of every row of ``docs`` (row, doc_id, text).
 
     lead is the struct (no_id, doc_id, row) of the component's first row: that of
