@@ -90,7 +90,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pe
     made = docs.mapInPandas(tokenize, "counts binary, doc_id long, ids binary")
     made.write.option("compression", "zstd").parquet(f"{path}/ids")
     written = spark.read.parquet(f"{path}/ids")
-    ids = written.filter("ids is not null").select("doc_id", "ids")
+    ids = written.filter("counts is null").select("doc_id", "ids")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -105,34 +105,27 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pe
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
-    n = parts_for(spark, ids.count(), per_part)
+    n = parts_for(spark, written.filter("counts is null").count(), per_part)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            each = [wide(x) for x in pdf["ids"]]
-            sizes = np.array([len(x) for x in each], np.int64)
-            if not len(each):
-                continue
-            codes, data = pack(shared.value[np.concatenate(each)], sizes)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": sizes, "control": codes, "data": data})
-
-    coded = ids.mapInPandas(encode, "doc_id long, n int, control binary, data binary")
-    placed = coded.repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "data")
+    # Dealt as they are and coded where they are written: finding the ranges reads all rows once more.
+    placed = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+    placed = placed.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids")
     placed = placed.withColumn("part", F.spark_partition_id())
 
     def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, held, size = 0, [], 0
 
         def row():
-            ids_, n_, codes, data, part = zip(*held, strict=True)
+            ids_, each, part = zip(*held, strict=True)
+            sizes = np.array([len(x) for x in each], np.int64)
+            codes, data = pack(shared.value[np.concatenate(each)], sizes)
             return pd.DataFrame(
                 {
                     "part": [part[0]],
                     "before": [before],
                     "n": [size],
                     "doc_ids": [list(ids_)],
-                    "sizes": [np.array(n_, "<u4").tobytes()],
+                    "sizes": [sizes.astype("<u4").tobytes()],
                     "control": [b"".join(codes)],
                     "data": [b"".join(data)],
                 }
@@ -140,9 +133,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, pe
 
         for pdf in batches:
             ids_ = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            for one in zip(ids_, pdf["n"], pdf["control"], pdf["data"], pdf["part"], strict=True):
-                held.append(one)
-                size += one[1]
+            for doc_id, kept, part in zip(ids_, pdf["ids"], pdf["part"], strict=True):
+                held.append((doc_id, wide(kept), part))
+                size += len(held[-1][1])
                 if size >= SEGMENT:
                     yield row()
                     before, held, size = before + size, [], 0

@@ -8,6 +8,7 @@ leave a word as it is.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import struct
@@ -18,11 +19,13 @@ import numpy as np
 
 from .common import Bounded
 
-#: Words and their cores kept by one Python worker (twice as many at most).
-WORDS, CORES = 200_000, 150_000
+#: Words kept by one Python worker (twice as many at most).
+WORDS = 300_000
 
-#: Letters, and then ASCII marks that are neither letter, digit, space nor apostrophe.
-SPLIT = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII marks that are neither letter, digit, space nor apostrophe.
+MARKS = bytes(b for b in range(33, 127) if b != 39 and not chr(b).isalnum())
+#: Composed Latin letters, once they are lowered.
+LATIN = re.compile("[a-zß-öø-ɏ]+")
 
 _made: dict[str, Callable[[str], bytes]] = {}
 
@@ -75,26 +78,26 @@ def encoder(path: str) -> Callable[[str], bytes]:
     if not word_end_bpe(spec):
         _made[path] = lambda text: pack(whole.encode(text, add_special_tokens=False).ids)
         return _made[path]
-    model, added = whole.model, [t["content"] for t in spec["added_tokens"]]
-    chars = byte_chars()
+    tokenize, added = whole.model.tokenize, [t["content"] for t in spec["added_tokens"]]
+    chars = "".join(byte_chars())
+    packed = [pack([i]) for i in range(max(whole.get_vocab().values()) + 1)]
 
-    def of_piece(piece: str) -> bytes:
-        if not piece.isascii():  # printable ASCII stands for itself
-            piece = "".join(map(chars.__getitem__, piece.encode()))
-        return pack([t.id for t in model.tokenize(piece)])
-
-    pieces = Bounded(of_piece, CORES)
+    def of_piece(piece: bytes) -> bytes:
+        # Printable ASCII stands for itself.
+        text = piece.decode() if piece.isascii() else codecs.charmap_decode(piece, "strict", chars)[0]
+        return b"".join([packed[t.id] for t in tokenize(text)])
 
     def of_word(word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" in text and any(a in text for a in added):
-            return pack(whole.encode(text, add_special_tokens=False).ids)
-        m = SPLIT.fullmatch(text)
-        if m and (text.isascii() or m[1].isalpha() and max(text) < "ɐ"):  # composed letters
-            core = m[1].lower()
-            if len(core) == len(m[1]):
-                return pieces[core] + (pieces[m[2]] if m[2] else b"")
-        return pack(whole.encode(text, add_special_tokens=False).ids)
+        if word.isalpha():
+            return of_piece(word.lower())
+        if b"<|" not in word or not any(a in word.decode() for a in added):
+            core = word.rstrip(MARKS)
+            if not core:
+                return of_piece(word)
+            low = core.decode().lower()
+            if LATIN.fullmatch(low):
+                return words[core] + words[word[len(core) :]] if len(core) < len(word) else of_piece(low.encode())
+        return pack(whole.encode(word.decode(), add_special_tokens=False).ids)
 
     words = Bounded(of_word, WORDS)
 

@@ -374,6 +374,45 @@ def test_encoder_is_the_library():
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_of_letters_marks_and_accents():
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(PATH), tokens.encoder(PATH)
+    for c in map(chr, [*range(1, 0x0600), *range(0x1E00, 0x2200)]):
+        for text in (c, f"a{c},", f"É{c}é.-'"):
+            assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_encoder_asks_the_model_once_a_core(monkeypatch, tmp_path):
+    import tokenizers
+
+    asked = {"model": [], "whole": []}
+
+    class Counted:
+        def __init__(self, path):
+            self.own = tokenizers_own.from_file(path)
+            self.model, self.get_vocab = self, self.own.get_vocab
+
+        from_file = classmethod(lambda cls, path: cls(path))
+
+        def tokenize(self, piece):
+            asked["model"].append(piece)
+            return self.own.model.tokenize(piece)
+
+        def encode(self, text, **how):
+            asked["whole"].append(text)
+            return self.own.encode(text, **how)
+
+    tokenizers_own = tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    path = tmp_path / "t.json"
+    path.write_bytes(open(PATH, "rb").read())
+    text = "abc | *** abc, ABC. élan Élan, élan | abc***"
+    got = tokens.encoder(str(path))(text)
+    assert np.frombuffer(got, "<u4").tolist() == tokenizers_own.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert asked["whole"] == [] and len(asked["model"]) <= 8  # |, ***, abc, comma, stop, élan (twice, as É is kept apart)
+
+
 def library_ids(rows):
     from tokenizers import Tokenizer
 
@@ -408,6 +447,21 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert token_output.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_are_coded_once(spark, tmp_path):
+    """Finding the ranges of doc_ids reads all rows once more, so no Python may run below that exchange."""
+    df, _ = corpus(spark, ODD)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    token_output.write_tokens(df, str(tmp_path / "t"), PATH)
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
+    ranged = [p for p in plans if "rangepartitioning(doc_id" in p.lower()]
+    assert len(ranged) == 1
+    above, below = ranged[0].split("== Initial Plan ==")[0].split("Exchange", 1)
+    assert above.count("MapInPandas") == 1 and "MapInPandas" not in below
+
+
 def test_packing(spark):
     df, rows = corpus(spark, ODD)
     df = df.filter("doc_id is not null").dropDuplicates(["doc_id"])
