@@ -139,17 +139,52 @@ def normalized_distance(a: Column, b: Column, low: Column, high: Column) -> Colu
 FORMS = {exact: strip, exact_normalized: phone}
 
 
-def cluster_pairs(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
-    """(cluster_id, id, id2, s0, s1, ...) of all pairs of a cluster's rows with different ids."""
+def scored_rows(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
+    """(cluster_id, id, v0, v1, ...): the form of each value that its scorer compares; rows of a blank cluster take no part."""
     require_columns(df, cluster_column, id_column, *scorers)
     rows = df.select(text(df, cluster_column).alias("cluster_id"), text(df, id_column).alias("id"), *(FORMS.get(f, lambda v: v)(text(df, c)).alias(f"v{i}") for i, (c, f) in enumerate(scorers.items())))
-    rows = rows.filter("cluster_id <> ''")
+    return rows.filter("cluster_id <> ''")
+
+
+def cluster_pairs(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
+    """(cluster_id, id, id2, s0, s1, ...) of all pairs of a cluster's rows with different ids."""
+    rows = scored_rows(df, cluster_column, id_column, scorers)
     same = lambda a, b: (a == b).cast("double")
     other = rows.select("cluster_id", F.col("id").alias("id2"), *(F.col(f"v{i}").alias(f"w{i}") for i in range(len(scorers))))
     pairs = rows.join(other, "cluster_id").filter("id < id2")
     return pairs.select("cluster_id", "id", "id2", *((same if f in FORMS else f)(F.col(f"v{i}"), F.col(f"w{i}")).alias(f"s{i}") for i, f in enumerate(scorers.values())))
 
 
+def counted(scorers: dict) -> bool:
+    """Whether values count for equality only: then pairs are counted, not made."""
+    return all(f in FORMS for f in scorers.values())
+
+
+def value_counts(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
+    """(cluster_id, id, i, v, n): how many rows of an id hold the form v in column i.
+
+    After the columns comes one that is equal on every row: its equal pairs are all pairs.
+    """
+    rows = scored_rows(df, cluster_column, id_column, scorers)
+    values = F.array(*(F.col(f"v{i}") for i in range(len(scorers))), F.lit(""))
+    return rows.select("cluster_id", "id", F.posexplode(values).alias("i", "v")).groupBy("cluster_id", "id", "i", "v").agg(F.count("*").alias("n"))
+
+
+def equal_pairs(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
+    """(cluster_id, k, e0, e1, ...): a cluster's pairs with different ids, and those equal in each column, every pair twice.
+
+    A form in h rows, n of them of one id, has h * h - sum(n * n) such pairs.
+    """
+    held = value_counts(df, cluster_column, id_column, scorers).groupBy("cluster_id", "i", "v").agg(F.sum("n").alias("h"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return by_column(held, ["cluster_id"], F.col("h") * F.col("h") - F.col("q"), len(scorers))
+
+
+def by_column(counts: DataFrame, keys: list[str], n: Column, width: int) -> DataFrame:
+    """(keys, k, e0, e1, ...): sums of ``n`` by column; keys without a pair are left out."""
+    total = lambda i: F.sum(F.when(F.col("i") == i, n).otherwise(0))
+    return counts.groupBy(*keys).agg(total(width).alias("k"), *(total(i).alias(f"e{i}") for i in range(width))).filter("k > 0")
+
+
 def within_cluster_scores(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
     """(cluster_id, record_id, record_score, cluster_score): means over the pairs of a cluster.
 
@@ -165,8 +200,10 @@ def within_cluster_scores(df: DataFrame, cluster_column: str, id_column: str, sc
 
 def field_scores(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
     """(cluster_id, field, mean_score): each field's mean over the pairs of a cluster."""
-    pairs = cluster_pairs(df, cluster_column, id_column, scorers)
-    means = pairs.groupBy("cluster_id").agg(*(F.avg(f"s{i}").alias(f"m{i}") for i in range(len(scorers))))
+    if counted(scorers):
+        means = equal_pairs(df, cluster_column, id_column, scorers).select("cluster_id", *((F.col(f"e{i}") / F.col("k")).alias(f"m{i}") for i in range(len(scorers))))
+    else:
+        means = cluster_pairs(df, cluster_column, id_column, scorers).groupBy("cluster_id").agg(*(F.avg(f"s{i}").alias(f"m{i}") for i in range(len(scorers))))
     each = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"m{i}").alias("mean_score")) for i, c in enumerate(scorers)))
     return means.select("cluster_id", F.inline(each)).orderBy("cluster_id", "field")
 

@@ -342,3 +342,28 @@ def test_tfidf_reads_the_texts(spark, tmp_path):
     want = {(p, q): round(sum(x * w[q].get(t, 0) for t, x in w[p].items()) / norm[p] / norm[q], 4) for p, q in itertools.combinations("abc", 2)}
     got = queries.QUERIES["similarity_tfidf_text"](spark, str(tmp_path)).collect()
     assert {(r["left_cluster"], r["right_cluster"]): r["similarity"] for r in got} == want
+
+
+def clustered(spark):
+    rows = [("c", "1", "x", "+1 2"), ("c", "2", "x ", "12"), ("c", "2", "y", "12"), ("c", "3", "x", ""), ("c", "3", "x", "+12"), ("d", "4", "x", ""), ("d", "4", "x", ""), ("", "5", "x", ""), ("e", "6", "", "1"), ("e", "7", "", "1")]
+    return frame(spark, ["c", "id", "v", "w"], *rows)
+
+
+def made_pairs(spark, *scorers):
+    """{cluster: [(id, id2, score, ...)]} of every pair, made one by one."""
+    got = {}
+    for r in review.cluster_pairs(clustered(spark), "c", "id", dict(zip("vw", scorers, strict=False))).collect():
+        got.setdefault(r[0], []).append(tuple(r[1:]))
+    assert sorted(map(len, got.values())) == [1, 8]
+    return got
+
+
+def no_pairs(*_):
+    raise AssertionError("pairs are counted, not made")
+
+
+def test_field_scores_count_equal_pairs(spark, monkeypatch):
+    want = {(c, f): sum(p[2 + i] for p in ps) / len(ps) for c, ps in made_pairs(spark, review.exact, review.exact_normalized).items() for i, f in enumerate("vw")}
+    monkeypatch.setattr(review, "cluster_pairs", no_pairs)
+    got = review.field_scores(clustered(spark), "c", "id", {"v": review.exact, "w": review.exact_normalized}).collect()
+    assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == 4
