@@ -185,15 +185,26 @@ def by_column(counts: DataFrame, keys: list[str], n: Column, width: int) -> Data
     return counts.groupBy(*keys).agg(total(width).alias("k"), *(total(i).alias(f"e{i}") for i in range(width))).filter("k > 0")
 
 
+def record_sums(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
+    """(cluster_id, record_id, record_score, t, k): mean and sum of the scores of a record's pairs, and their number."""
+    width = len(scorers)
+    if counted(scorers):
+        cells = value_counts(df, cluster_column, id_column, scorers)
+        held = cells.groupBy("cluster_id", "i", "v").agg(F.sum("n").alias("h"))
+        sums = by_column(cells.join(held, ["cluster_id", "i", "v"]), ["cluster_id", "id"], F.col("n") * (F.col("h") - F.col("n")), width)
+        equal = functools.reduce(operator.add, [F.col(f"e{i}") for i in range(width)])
+        return sums.select("cluster_id", F.col("id").alias("record_id"), (equal / width / F.col("k")).alias("record_score"), (equal / width).alias("t"), "k")
+    mean = functools.reduce(operator.add, [F.col(f"s{i}") for i in range(width)]) / width
+    scored = cluster_pairs(df, cluster_column, id_column, scorers).select("cluster_id", F.explode(F.array("id", "id2")).alias("record_id"), mean.alias("s"))
+    return scored.groupBy("cluster_id", "record_id").agg(F.avg("s").alias("record_score"), F.sum("s").alias("t"), F.count("*").alias("k"))
+
+
 def within_cluster_scores(df: DataFrame, cluster_column: str, id_column: str, scorers: dict) -> DataFrame:
     """(cluster_id, record_id, record_score, cluster_score): means over the pairs of a cluster.
 
     ``scorers`` maps columns to (Column, Column) -> Column.
     """
-    pairs = cluster_pairs(df, cluster_column, id_column, scorers)
-    mean = functools.reduce(operator.add, [F.col(f"s{i}") for i in range(len(scorers))]) / len(scorers)
-    scored = pairs.select("cluster_id", F.explode(F.array("id", "id2")).alias("record_id"), mean.alias("s"))
-    record = scored.groupBy("cluster_id", "record_id").agg(F.avg("s").alias("record_score"), F.sum("s").alias("t"), F.count("*").alias("k"))
+    record = record_sums(df, cluster_column, id_column, scorers)
     cluster = record.groupBy("cluster_id").agg((F.sum("t") / F.sum("k")).alias("cluster_score"))
     return record.join(cluster, "cluster_id").select("cluster_id", "record_id", "record_score", "cluster_score").orderBy("cluster_id", "record_id")
 

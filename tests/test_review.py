@@ -367,3 +367,18 @@ def test_field_scores_count_equal_pairs(spark, monkeypatch):
     monkeypatch.setattr(review, "cluster_pairs", no_pairs)
     got = review.field_scores(clustered(spark), "c", "id", {"v": review.exact, "w": review.exact_normalized}).collect()
     assert {(r[0], r[1]): r[2] for r in got} == want and len(got) == 4
+
+
+def test_within_cluster_scores_count_equal_pairs(spark, monkeypatch):
+    want = {}
+    for c, ps in made_pairs(spark, review.exact, review.exact_normalized).items():
+        whole = sum((p[2] + p[3]) / 2 for p in ps) / len(ps)
+        for i in {x for p in ps for x in p[:2]}:
+            own = [(p[2] + p[3]) / 2 for p in ps if i in p[:2]]
+            want[c, i] = (pytest.approx(sum(own) / len(own)), pytest.approx(whole))
+    monkeypatch.setattr(review, "cluster_pairs", no_pairs)
+    got = review.within_cluster_scores(clustered(spark), "c", "id", {"v": review.exact, "w": review.exact_normalized}).collect()
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got} == want and len(got) == 5
+    monkeypatch.undo()
+    mixed = review.within_cluster_scores(clustered(spark), "c", "id", {"v": lambda a, b: review.exact(a, b), "w": review.exact_normalized}).collect()
+    assert {(r[0], r[1]): (r[2], r[3]) for r in mixed} == want
