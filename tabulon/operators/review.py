@@ -219,6 +219,16 @@ def field_scores(df: DataFrame, cluster_column: str, id_column: str, scorers: di
     return means.select("cluster_id", F.inline(each)).orderBy("cluster_id", "field")
 
 
+def pair_scores(df: DataFrame, cluster_column: str, id_column: str, column: str, scorer) -> DataFrame:
+    """(cluster_id, score, n): how many pairs of a cluster have each score of one column."""
+    given = df, cluster_column, id_column, {column: scorer}
+    if not counted({column: scorer}):
+        return cluster_pairs(*given).groupBy("cluster_id", F.col("s0").alias("score")).agg(F.count("*").alias("n"))
+    half = lambda n: F.shiftright(n, 1)
+    each = F.array(*(F.struct(F.lit(s).alias("score"), half(n).alias("n")) for s, n in ((1.0, F.col("e0")), (0.0, F.col("k") - F.col("e0")))))
+    return equal_pairs(*given).select("cluster_id", F.inline(each)).filter("n > 0")
+
+
 def ranked_pairs(pairs: DataFrame, threshold: float, score: str = "score") -> DataFrame:
     """``pairs`` whose score reaches the calibrated threshold, best first, with all their columns."""
     return pairs.filter(F.col(score) >= threshold).orderBy(F.desc(score), *(c for c in pairs.columns if c not in (score, "column_scores")))
@@ -252,14 +262,15 @@ def calibrate_threshold(labelled: DataFrame, score: str = "score", label: str =
     return labelled.agg(yes.alias("lowest_yes"), no.alias("highest_no")).withColumn("threshold", F.coalesce((F.col("lowest_yes") + F.col("highest_no")) / 2, F.lit(default)))
 
 
-def sanity_checks(cluster_scores: DataFrame, fields: DataFrame | None = None, pairs: DataFrame | None = None, low: float = 0.8, threshold: float = 0.7) -> DataFrame:
+def sanity_checks(cluster_scores: DataFrame, fields: DataFrame | None = None, pairs: DataFrame | None = None, low: float = 0.8, threshold: float = 0.7, repeats: str | None = None) -> DataFrame:
     """(check, value, triggered): signs that a review as a whole went wrong.
 
     From (cluster_id, cluster_score): the share of clusters below ``low`` above
     0.9, the greatest score at most 0.05, the least at least 0.95. From
     (field, mean_score): a field whose mean is 0.3 or more below that of the
     others. From unclustered ``pairs`` with a score: more than half of them at
-    ``threshold`` or above. Without rows a check is not triggered.
+    ``threshold`` or above; a row of ``pairs`` counts as often as its column
+    ``repeats`` says, else once. Without rows a check is not triggered.
     """
     each = cluster_scores.select("cluster_id", "cluster_score").distinct()
     share = lambda c: F.avg(c.cast("double"))
@@ -272,5 +283,7 @@ def sanity_checks(cluster_scores: DataFrame, fields: DataFrame | None = None, pa
         gap = gap.select(F.when(F.col("n") > 1, (F.col("sum") - F.col("low")) / (F.col("n") - 1) - F.col("low")).alias("d"))
         out = out.unionByName(rows(gap, ("low_field", "d", F.col("d") >= 0.3)))
     if pairs is not None:
-        out = out.unionByName(rows(pairs.agg(share(F.col("score") >= threshold).alias("p")), ("most_pairs_match", "p", F.col("p") > 0.5)))
+        match, n = F.col("score") >= threshold, F.col(repeats) if repeats else F.lit(1)
+        part = F.try_divide(F.sum(F.when(match, n).otherwise(0)), F.sum(F.when(match.isNotNull(), n)))
+        out = out.unionByName(rows(pairs.agg(part.alias("p")), ("most_pairs_match", "p", F.col("p") > 0.5)))
     return out

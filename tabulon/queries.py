@@ -336,8 +336,8 @@ def field_scores(spark, sf):
  SELECT n AS "check", round(v, 4) AS value, t AS triggered FROM r""")
 def sanity_checks(spark, sf):
     given = brands(spark, sf)
-    pairs = review.cluster_pairs(*given).select(F.col("s0").alias("score"))
-    found = review.sanity_checks(review.within_cluster_scores(*given), review.field_scores(*given), pairs)
+    pairs = review.pair_scores(*given[:3], "p_size", review.exact)
+    found = review.sanity_checks(review.within_cluster_scores(*given), review.field_scores(*given), pairs, repeats="n")
     return found.withColumn("value", F.round("value", 4))
 
 

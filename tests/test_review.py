@@ -382,3 +382,21 @@ def test_within_cluster_scores_count_equal_pairs(spark, monkeypatch):
     monkeypatch.undo()
     mixed = review.within_cluster_scores(clustered(spark), "c", "id", {"v": lambda a, b: review.exact(a, b), "w": review.exact_normalized}).collect()
     assert {(r[0], r[1]): (r[2], r[3]) for r in mixed} == want
+
+
+def test_sanity_checks_count_equal_pairs(spark, tmp_path, monkeypatch):
+    from tabulon import queries
+
+    kept = [s for ps in made_pairs(spark, review.exact).values() for *_, s in ps]
+    found = review.pair_scores(clustered(spark), "c", "id", "v", review.exact)
+    scores, fields = (f(clustered(spark), "c", "id", {"v": review.exact}) for f in (review.within_cluster_scores, review.field_scores))
+    last = review.sanity_checks(scores, fields, found, repeats="n").collect()[-1]
+    assert tuple(last) == ("most_pairs_match", sum(kept) / len(kept), True) and sum(r["n"] for r in found.collect()) == len(kept)
+    assert review.pair_scores(clustered(spark), "c", "id", "v", lambda a, b: review.exact(a, b)).exceptAll(found).count() == 0
+    once = spark.createDataFrame([(s,) for s in kept], "score double")
+    assert tuple(review.sanity_checks(scores, fields, once).collect()[-1]) == tuple(last)
+    assert tuple(review.sanity_checks(scores, fields, once.limit(0)).collect()[-1]) == ("most_pairs_match", None, False)
+    spark.createDataFrame([(i, "b", i % 2, "t") for i in range(5)], "p_partkey long, p_brand string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(review, "cluster_pairs", no_pairs)
+    rows = {r[0]: (r[1], r[2]) for r in queries.QUERIES["sanity_checks"](spark, str(tmp_path)).collect()}
+    assert rows["most_pairs_match"] == (0.4, False) and rows["low_field"] == (0.6, True) and rows["scores_near_zero"] == (0.7, False)
