@@ -402,7 +402,7 @@ def test_sanity_checks_count_equal_pairs(spark, tmp_path, monkeypatch):
     assert rows["most_pairs_match"] == (0.4, False) and rows["low_field"] == (0.6, True) and rows["scores_near_zero"] == (0.7, False)
 
 
-@pytest.mark.parametrize("scorer", ["difflib", "jaccard"])
+@pytest.mark.parametrize("scorer", ["difflib", "jaccard", "levenshtein"])
 def test_duplicates_score_values_once(spark, tmp_path, monkeypatch, scorer):
     """Scores are made for values, not rows, and pairs come whole and best first."""
     plain = {"difflib": duplicates.ratio, "jaccard": lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)), "levenshtein": lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(a)}[scorer]
